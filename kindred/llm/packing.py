@@ -16,6 +16,7 @@ null id. Further columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ from kindred.llm.common import stored
 UNITS = 64
 BUCKETS = 100
 PART_ROWS = 8192
+PUNCTUATION = string.punctuation
 ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class Encoder:
     """Token ids by a tokenizer that drops white space and never joins across it, word by word through a bounded cache."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,8 +53,6 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Tokenize unseen words together, a special token between them."""
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
         if self.stop is None:
             self.cache.update((w, self.whole(w)) for w in words)
             return
@@ -64,14 +64,33 @@ class Encoder:
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
             self.cache.update(zip(some, (raw[a * size : b * size] for a, b in zip(starts, ends))))
 
+    def met(self, words: set[str]) -> None:
+        """Take unseen words into the cache. Punctuation behind a letter or number is always a token part of its own, so
+        a word is tokenized once for all its endings."""
+        ended, bare = {}, set()
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalnum():
+                tail = w[len(core) :]
+                ended[w] = core, tail
+                bare.update((core, tail))
+            else:
+                bare.add(w)
+        bare.difference_update(self.cache)
+        self.learn(list(bare))
+        get = self.cache.__getitem__
+        self.cache.update((w, get(core) + get(tail)) for w, (core, tail) in ended.items())
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Lower-casing ASCII texts first changes no id: the tokenizer lower-cases, and it makes entries fewer."""
         split = [None if t and ODD.search(t) else (t.lower() if t.isascii() else t).split() if t else [] for t in texts]
-        new = {w for ws in split if ws for w in ws}.difference(self.cache)
-        if len(self.cache) + len(new) > self.most:  # the cache is about to be cleared
-            new = {w for ws in split if ws for w in ws}
+        words = set().union(*(ws for ws in split if ws))
+        new = words.difference(self.cache)
+        if len(self.cache) + 2 * len(new) > self.most:
+            self.cache.clear()
+            new = words
         if new:
-            self.learn(list(new))
+            self.met(new)
         get = self.cache.__getitem__
         return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
