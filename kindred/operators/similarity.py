@@ -50,14 +50,14 @@ def similar_all(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLO
     pair of blocks returns its k best of each query, which are merged by a window."""
     parts = [max(1, -(-df.count() // block)) for df in (queries, vectors)]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.pmod(F.xxhash64("post_id"), F.lit(parts[0])).alias("qb"), every(parts[1]).alias("xb"), "post_id", "vec")
+    left = queries.select(F.pmod(F.xxhash64("post_id"), F.lit(parts[0])).alias("qb"), every(parts[1]).alias("xb"), F.col("post_id").alias("query_id"), F.col("vec").alias("q"))
     right = vectors.select(every(parts[0]).alias("qb"), F.pmod(F.xxhash64("post_id"), F.lit(parts[1])).alias("xb"), "post_id", "vec")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "post_id": [], "cos": []}).astype({"query_id": "int64", "post_id": "int64"})
         stack = lambda v: np.stack(v.to_numpy()).astype(np.float64)
-        return refine(a.post_id.to_numpy(), stack(a.vec), b.post_id.to_numpy(), stack(b.vec), k)
+        return refine(a.query_id.to_numpy(), stack(a.q), b.post_id.to_numpy(), stack(b.vec), k)
 
     found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(meet, "query_id bigint, post_id bigint, cos double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "post_id"))
