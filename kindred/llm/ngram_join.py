@@ -34,6 +34,8 @@ UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 RATIO = 1.25
 SPARES = 3
 CHUNK = 64
+#: candidates up to this many are broadcast
+SMALL = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,9 +60,9 @@ class Classes:
     """Size classes and their fragments for links at 100 * intersection >= percent * union."""
 
     def __init__(self, percent: int, largest: int) -> None:
-        self.percent, bounds = percent, [1]
+        self.percent, bounds, ratio = percent, [1], max(RATIO, 100 / percent)  # a linked set lies in the same class or the next
         while bounds[-1] <= largest:
-            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * RATIO)))
+            bounds.append(max(bounds[-1] + 1, int(bounds[-1] * ratio)))
         self.bounds = np.array(bounds)  # class c: bounds[c] <= size < bounds[c + 1]
 
     def of(self, size: int) -> int:
@@ -159,74 +161,74 @@ def link_block(docs: list[tuple[int, np.ndarray]], percent: int, cross: int | No
     return out
 
 
-def sets_of(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, grams (sorted 64-bit hashes), set_hi and set_lo (128 bits that tell the set)."""
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sets_of(documents: DataFrame, n: int, classes: Classes) -> DataFrame:
+    """doc_id, n_shingles, set_hi and set_lo (128 bits that tell the set), sigs (its signatures)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         cache = HashCache()
         for batch in parts:
-            for at, texts in texts_of(batch, step=500):
+            for at, texts in texts_of(batch, step=250):
                 grams = [shingles(words_of(t), n, cache) for t in texts]
                 marks = [xxhash.xxh128_intdigest(g.tobytes()) for g in grams]
-                signed = lambda x: x - (1 << 64) if x >> 63 else x
+                sigs = [np.concatenate([signatures(g, c, f) for c in classes.places(len(g)) if (f := classes.fragments(c))] or [np.zeros(0, np.uint64)]) if len(g) else np.zeros(0, np.uint64) for g in grams]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([len(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([signed(m >> 64) for m in marks], pa.int64()), pa.array([signed(m & ((1 << 64) - 1)) for m in marks], pa.int64())],
-                    ["doc_id", "n_shingles", "grams", "set_hi", "set_lo"],
+                    [batch.column(0).slice(at, len(texts)), pa.array([len(g) for g in grams], pa.int64()), pa.array([signed(m >> 64) for m in marks], pa.int64()), pa.array([signed(m & ((1 << 64) - 1)) for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))],
+                    ["doc_id", "n_shingles", "set_hi", "set_lo", "sigs"],
                 )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, grams binary, set_hi bigint, set_lo bigint")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hi bigint, set_lo bigint, sigs array<bigint>")
+
+
+def grams_of(documents: DataFrame, n: int) -> DataFrame:
+    """Every other column, and n_shingles and grams (sorted 64-bit hashes) in place of text."""
+    own = [c for c in documents.columns if c != "text"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        for batch in parts:
+            for at, texts in texts_of(batch, step=250):
+                grams = [shingles(words_of(t), n, cache) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(texts)) for k in range(len(own))), pa.array([len(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], [*own, "n_shingles", "grams"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in documents.select(*own).dtypes)
+    return documents.select(*own, "text").mapInArrow(run, f"{schema}, n_shingles bigint, grams binary")
 
 
 def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links of 100 * intersection >= percent * union."""
-    spark = documents.sparkSession
-    sets = stored(sets_of(documents, n), "sets")
+    classes = Classes(percent, 1 << 40)
+    sets = stored(sets_of(documents, n, classes), "sets")
     slim = sets.select("doc_id", "n_shingles", "set_hi", "set_lo")
     kept = slim.where("doc_id is not null and n_shingles > 0")
     # one representative for each set: its least id
     reps = stored(kept.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    largest = reps.agg(F.max("n_shingles")).first()[0] or 1
-    classes = Classes(percent, int(largest))
-
-    def signed_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            ids, sizes, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            held_ids, held_sig, total = [], [], 0
-            for k in range(batch.num_rows):
-                grams = np.frombuffer(raw[k].as_buffer(), np.uint64)
-                for c in classes.places(int(sizes[k])):
-                    if f := classes.fragments(c):
-                        sig = signatures(grams, c, f)
-                        held_sig.append(sig.view(np.int64))
-                        held_ids.append(np.full(len(sig), ids[k]))
-                        total += len(sig)
-                if total > 200_000 or (total and k + 1 == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held_sig)), pa.array(np.concatenate(held_ids))], ["sig", "id"])
-                    held_ids, held_sig, total = [], [], 0
-
-    full = sets.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "grams")
-    sigs = full.mapInArrow(signed_rows, "sig bigint, id bigint")
+    sigs = sets.where("doc_id is not null and n_shingles > 0").select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id"))
     shared = sigs.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sig", "least")
     stars = sigs.join(shared, "sig").where("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
-    return finish(spark, slim, reps, full, components(stars), classes, percent)
-
-
-def finish(spark, slim: DataFrame, reps: DataFrame, full: DataFrame, near: DataFrame, classes: Classes, percent: int) -> DataFrame:
+    near = components(stars)
     # of each candidate component only one document of each set takes part
     near = near.join(reps.select(F.col("rep").alias("u"), "n_shingles").distinct(), "u").select(F.col("u").alias("doc_id"), F.col("component").alias("family"))
     near = stored(near.distinct(), "families")
     sizes = near.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
-    members = full.join(near.join(sizes, "family"), "doc_id")
-    bounds = F.array(*(F.lit(int(b)) for b in classes.bounds))
+    wanted = near.join(sizes, "family")
+    # only candidates' texts are read again for their n-grams; few enough candidates go to the texts, else both are shuffled
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    members = grams_of(texts.join(F.broadcast(wanted) if near.count() <= SMALL else wanted, "doc_id").select("doc_id", "family", "members", "text"), n).where("n_shingles > 0")
+    bounds = F.expr(f"array({', '.join(f'{int(b)}L' for b in classes.bounds)})")
     own = F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1
     below = (F.col("own") > 0) & ((F.get(bounds, F.col("own")) - 1) * 100 >= percent * F.col("n_shingles"))
     placed = members.withColumn("own", own).withColumn("cls", F.explode(F.when(below, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own")))).drop("own")
     blocks = dealt(placed.select("family", "cls", "members", "doc_id", "grams"), "doc_id", CHUNK)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("doc_id").sort_values(["chunk", "doc_id"])
+        block = block.drop_duplicates(["doc_id", "grams"]).sort_values(["chunk", "doc_id"])
         a, b = int(block.a.iloc[0]), int(block.b.iloc[0])
         docs = [(int(i), np.frombuffer(g, np.uint64)) for i, g in zip(block.doc_id, block.grams)]
         links = link_block(docs, percent, None if a == b else int((block.chunk == a).sum()))
