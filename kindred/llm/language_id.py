@@ -57,7 +57,8 @@ class Model:
         parts = [self.grams_of(w) for w in words]
         sizes = np.array([max(1, len(p)) for p in parts])
         flat = np.fromiter((i for p in parts for i in (p or [0])), np.int64, int(sizes.sum()))
-        mean = np.add.reduceat(self.logs[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
+        logs = self.logs if len(self.logs) else np.zeros((1, len(self.langs)), np.float32)
+        mean = np.add.reduceat(logs[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
         mean[[not p for p in parts]] = 0
         while self.size + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), len(self.langs)), np.float32)])
@@ -118,7 +119,7 @@ def learn(pairs: list[tuple[str, str]], least: int = 2) -> Model:
                 for i in range(len(padded) - n + 1):
                     counts[k][padded[i : i + n]] += times
         grams |= logs(counts)
-    return Model(langs, known, grams, np.array(rows, np.float32).reshape(-1, len(langs)))
+    return Model(langs, known, grams, np.array(rows, np.float32).reshape(len(rows), len(langs)))
 
 
 def fit(documents: DataFrame, *, folds: int = 5, held: int = 0, most: int = 1500, most_chars: int = 6_000_000) -> Model:
