@@ -53,17 +53,18 @@ class Model:
         if self.tables is None:
             self.tables = [[(self.emb @ f[j]).astype(np.float32) for j in range(len(f))] for f in self.filters]
         most = max(WIDTHS) - 1
-        sizes = np.array([len(d) + most for d in docs])
+        sizes = np.array([len(d) + 2 * most for d in docs])  # padding at the end, so that no filter reaches the next text
         flat = np.zeros(int(sizes.sum()) + most, np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         for d, s in zip(docs, starts):
             flat[s : s + len(d)] = d
         n, out = int(sizes.sum()), []
+        spans = np.stack([starts, starts + sizes - most], axis=1).ravel()
         for table, b in zip(self.tables, self.bias):
             x = table[0][flat[:n]]
             for j in range(1, len(table)):
                 x = x + table[j][flat[j : n + j]]
-            out.append(np.maximum.reduceat(x, starts, axis=0) + b)
+            out.append(np.maximum.reduceat(x, spans, axis=0)[::2] + b)
         return np.maximum(np.concatenate(out, axis=1), 0)
 
     def raw(self, docs: list[list[int]]) -> np.ndarray:
