@@ -138,8 +138,8 @@ def keys_of(lines: dict[int, str], tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def link_block(ids: list[int], lines: list[str], tau: int, cross: int | None) -> list[tuple[int, int]]:
-    """Links that join what is linked; with cross, only of the first `cross` lines with the others."""
+def proposed(lines: list[str], tau: int, cross: int | None) -> set[tuple[int, int]]:
+    """Pairs of a block that have a segment in common; with cross, only of the first `cross` lines with the others."""
     index: dict[tuple, list[int]] = defaultdict(list)
     for k, line in enumerate(lines):
         for i, (start, size) in enumerate(segments(len(line), tau)):
@@ -152,23 +152,47 @@ def link_block(ids: list[int], lines: list[str], tau: int, cross: int | None) ->
                 for j in index.get((len(line) - d, i, line[start + shift : start + shift + size]), ()):
                     if j != k and (cross is None or (j < cross) != (k < cross)):
                         pairs.add((min(j, k), max(j, k)))
-    order = sorted(pairs)
-    points = [code_points(x) for x in lines]
-    root = list(range(len(lines)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    return pairs
+
+
+def trimmed(a: np.ndarray, b: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without the start and the end that they share, as far as more than tau of each are left: the distance stays."""
+    room = max(0, min(len(a), len(b)) - tau - 1)
+    differ = np.flatnonzero(a[:room] != b[:room])
+    start = int(differ[0]) if len(differ) else room
+    a, b = a[start:], b[start:]
+    room = max(0, min(len(a), len(b)) - tau - 1)
+    differ = np.flatnonzero(a[len(a) - room :][::-1] != b[len(b) - room :][::-1])
+    end = int(differ[0]) if len(differ) else room
+    return a[: len(a) - end], b[: len(b) - end]
+
+
+def link_blocks(blocks: list[tuple[list[int], list[str], int | None]], tau: int) -> list[tuple[int, int]]:
+    """Links that join what is linked in each block (ids, lines, cross). The pairs of all blocks are verified together."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    points: dict[tuple[int, int], np.ndarray] = {}
+    todo = []
+    for n, (_, lines, cross) in enumerate(blocks):
+        for a, b in sorted(proposed(lines, tau, cross)):
+            for k in (a, b):
+                if (n, k) not in points:
+                    points[n, k] = code_points(lines[k])
+            todo.append((n, a, b, *trimmed(points[n, a], points[n, b], tau)))
+    todo.sort(key=lambda t: (max(len(t[3]), len(t[4])), t[:3]))
     out = []
-    for at in range(0, len(order), 2000):
-        some = [(a, b) for a, b in order[at : at + 2000] if find(a) != find(b)]
-        for (a, b), near in zip(some, within([(points[a], points[b]) for a, b in some], tau)):
-            if near and find(a) != find(b):
-                root[find(a)] = find(b)
-                out.append((ids[a], ids[b]))
+    for at in range(0, len(todo), 4000):
+        some = [t for t in todo[at : at + 4000] if find((t[0], t[1])) != find((t[0], t[2]))]
+        for (n, a, b, _, _), near in zip(some, within([(x, y) for *_, x, y in some], tau)):
+            if near and find((n, a)) != find((n, b)):
+                root[find((n, a))] = find((n, b))
+                out.append((blocks[n][0][a], blocks[n][0][b]))
     return out
 
 
@@ -214,12 +238,16 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
     placed = members.join(sizes, "family").withColumn("band", band).withColumn("band", F.explode(F.when(near_start, F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))))
     blocks = dealt(placed, "id", CHUNK)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["chunk", "id"])
-        cross = None if block.a.iloc[0] == block.b.iloc[0] else int((block.chunk == block.a.iloc[0]).sum())
-        return pd.DataFrame(link_block(block.id.tolist(), block.line.tolist(), tau, cross), columns=["u", "v"]).astype("int64")
+    # many small blocks to a task group, so that their pairs are verified side by side; a block's size is bounded
+    blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("family", "band", "a", "b"), F.lit(max(1, n // 400))))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, _, a, b), block in group.sort_values(["chunk", "id"]).groupby(["family", "band", "a", "b"]):
+            found.append((block.id.tolist(), block.line.tolist(), None if a == b else int((block.chunk == a).sum())))
+        return pd.DataFrame(link_blocks(found, tau), columns=["u", "v"]).astype("int64")
 
-    return components(blocks.groupBy("family", "band", "a", "b").applyInPandas(run, "u bigint, v bigint"))
+    return components(blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint"))
 
 
 def native_line_id(line):

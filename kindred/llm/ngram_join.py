@@ -220,21 +220,23 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     wanted = near.join(sizes, "family")
     # only candidates' texts are read again for their n-grams; few enough candidates go to the texts, else both are shuffled
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    members = grams_of(texts.join(F.broadcast(wanted) if near.count() <= SMALL else wanted, "doc_id").select("doc_id", "family", "members", "text"), n).where("n_shingles > 0")
+    members = grams_of(texts.join(F.broadcast(wanted) if (many := near.count()) <= SMALL else wanted, "doc_id").select("doc_id", "family", "members", "text"), n).where("n_shingles > 0")
     bounds = F.expr(f"array({', '.join(f'{int(b)}L' for b in classes.bounds)})")
     own = F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1
     below = (F.col("own") > 0) & ((F.get(bounds, F.col("own")) - 1) * 100 >= percent * F.col("n_shingles"))
     placed = members.withColumn("own", own).withColumn("cls", F.explode(F.when(below, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own")))).drop("own")
     blocks = dealt(placed.select("family", "cls", "members", "doc_id", "grams"), "doc_id", CHUNK)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["doc_id", "grams"]).sort_values(["chunk", "doc_id"])
-        a, b = int(block.a.iloc[0]), int(block.b.iloc[0])
-        docs = [(int(i), np.frombuffer(g, np.uint64)) for i, g in zip(block.doc_id, block.grams)]
-        links = link_block(docs, percent, None if a == b else int((block.chunk == a).sum()))
+    blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("family", "cls", "a", "b"), F.lit(max(1, many // 100))))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for (_, _, a, b), block in group.drop_duplicates(["family", "cls", "a", "b", "doc_id", "grams"]).sort_values(["chunk", "doc_id"]).groupby(["family", "cls", "a", "b"]):
+            docs = [(int(i), np.frombuffer(g, np.uint64)) for i, g in zip(block.doc_id, block.grams)]
+            links += link_block(docs, percent, None if a == b else int((block.chunk == a).sum()))
         return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
-    links = blocks.groupBy("family", "cls", "a", "b").applyInPandas(run, "u bigint, v bigint")
+    links = blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint")  # many small blocks to a group
     # ids that share a set, and sets that share an id, are joined too
     same = slim.where("doc_id is not null and n_shingles > 0").join(reps.where("copies > 1").select("set_hi", "set_lo", "n_shingles", "rep"), ["set_hi", "set_lo", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     found = components(links.unionByName(same))
