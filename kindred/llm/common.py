@@ -105,6 +105,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+FILTER_BITS = 27
+
+
+def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of one hash over a column of well mixed 64-bit integers. It is of a fixed size, whatever the rows: at
+    most 2**bits bits pass through the driver; where they are too few, the filter only lets more through."""
+    rows = df.groupBy(F.expr(f"shiftrightunsigned({column}, {70 - bits})").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("held")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["held"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value passes the filter: all that were put in do."""
+    at = values.view(np.uint64) >> np.uint64(59 - len(held).bit_length())
+    return (held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def batches(rows: Iterable[dict[str, Any]], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
     held: list[dict[str, Any]] = []
     for r in rows:

@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import mix64, stored
+from kindred.llm.common import bit_filter, may_hold, mix64, stored
 from kindred.llm.components import components, dealt
 
 TAU, LEAST = 2, 30
 BLANK = " \t\r\x0b\x0c"
 CHUNK = 64
-#: candidate ids up to this many are sent to every executor as a filter; more are joined by a shuffle
-SMALL = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -201,32 +199,38 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
     spark = documents.sparkSession
     texts = documents.where("doc_id is not null and text is not null").select("text")
 
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for at in range(0, batch.num_rows, 150):
-                lines = lines_of(batch.column(0).slice(at, 150).to_pylist(), least)
-                if lines:
-                    keys, owners = keys_of(lines, tau)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
+    def keyed(shared=None) -> DataFrame:
+        """(key, owner) of all lines; with shared, of the keys that pass this filter."""
+
+        def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts:
+                for at in range(0, batch.num_rows, 150):
+                    lines = lines_of(batch.column(0).slice(at, 150).to_pylist(), least)
+                    if lines:
+                        keys, owners = keys_of(lines, tau)
+                        if shared is not None:
+                            ok = may_hold(shared.value, keys)
+                            keys, owners = keys[ok], owners[ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
+
+        return texts.mapInArrow(rows, "key bigint, owner bigint")
 
-    keyed = texts.mapInArrow(rows, "key bigint, owner bigint")
     bare = F.col("owner").bitwiseAND(F.lit(-2))
-    met = keyed.groupBy("key").agg(F.min(bare).alias("low"), F.max(bare).alias("high"), F.max(F.col("owner").bitwiseAND(F.lit(1))).alias("indexed")).where("low < high and indexed = 1").select("key", "low")
-    stars = keyed.join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    met = keyed().groupBy("key").agg(F.min(bare).alias("low"), F.max(bare).alias("high"), F.max(F.col("owner").bitwiseAND(F.lit(1))).alias("indexed")).where("low < high and indexed = 1").select("key", "low")
+    met = stored(met, "met")
+    # few keys meet others: the rest goes before it is shuffled again
+    stars = keyed(spark.sparkContext.broadcast(bit_filter(met, "key"))).join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     families = stored(components(stars), "families")
     wanted = families.select(F.col("u").alias("id"), F.col("component").alias("family"))
     n = wanted.count()
-    chosen = spark.sparkContext.broadcast(np.sort(np.array([r.id for r in wanted.select("id").collect()], np.int64))) if n <= SMALL else None
+    chosen = spark.sparkContext.broadcast(bit_filter(wanted, "id"))
 
     def texts_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = chosen.value if chosen is not None else None
         for batch in parts:
             for at in range(0, batch.num_rows, 150):
                 lines = lines_of(batch.column(0).slice(at, 150).to_pylist(), least)
                 ids = np.fromiter(lines, np.int64, len(lines))
-                if known is not None and len(ids):
-                    place = np.searchsorted(known, ids).clip(0, max(0, len(known) - 1))
-                    ids = ids[known[place] == ids] if len(known) else ids[:0]
+                ids = ids[may_hold(chosen.value, ids)]
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lines[i] for i in ids.tolist()])], ["id", "line"])
 
