@@ -15,7 +15,6 @@ null id. Further columns are ignored.
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -31,7 +30,18 @@ UNITS = 64
 BUCKETS = 100
 PART_ROWS = 8192
 PUNCTUATION = string.punctuation
-ODD = re.compile("[\x1c-\x1f]|<\\|")
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def folded(text: str) -> str:
+    """In lower case if that can't change an id: the tokenizer lower-cases too, and one case makes entries fewer. In Latin-1
+    every letter has one lower-case letter there and no text has another normal form."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
 
 
 class Encoder:
@@ -58,7 +68,7 @@ class Encoder:
             return
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode("<|endoftext|>".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.stop)
             raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
@@ -67,23 +77,22 @@ class Encoder:
     def met(self, words: set[str]) -> None:
         """Take unseen words into the cache. Punctuation behind a letter or number is always a token part of its own, so
         a word is tokenized once for all its endings."""
-        ended, bare = {}, set()
+        ended, bare = [], set()
         for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalnum():
-                tail = w[len(core) :]
-                ended[w] = core, tail
-                bare.update((core, tail))
+            core = w if w.isalpha() else w.rstrip(PUNCTUATION)
+            if len(core) < len(w) and core and core[-1] < "\u0250" and core[-1].isalnum():
+                ended.append((w, core, w[len(core) :]))
             else:
                 bare.add(w)
+        bare.update(core for _, core, _ in ended)
+        bare.update(tail for _, _, tail in ended)
         bare.difference_update(self.cache)
         self.learn(list(bare))
         get = self.cache.__getitem__
-        self.cache.update((w, get(core) + get(tail)) for w, (core, tail) in ended.items())
+        self.cache.update([(w, get(core) + get(tail)) for w, core, tail in ended])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Lower-casing ASCII texts first changes no id: the tokenizer lower-cases, and it makes entries fewer."""
-        split = [None if t and ODD.search(t) else (t.lower() if t.isascii() else t).split() if t else [] for t in texts]
+        split = [(None if any(x in t for x in ODD) else folded(t).split()) if t else [] for t in texts]
         words = set().union(*(ws for ws in split if ws))
         new = words.difference(self.cache)
         if len(self.cache) + 2 * len(new) > self.most:
