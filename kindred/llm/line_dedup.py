@@ -176,21 +176,32 @@ def link_blocks(blocks: list[tuple[list[int], list[str], int | None]], tau: int)
         return x
 
     points: dict[tuple[int, int], np.ndarray] = {}
-    todo = []
+    first, rest = [], []  # each line's first partner joins most of what there is to join; few other pairs are left then
     for n, (_, lines, cross) in enumerate(blocks):
+        met = set()
         for a, b in sorted(proposed(lines, tau, cross)):
-            for k in (a, b):
-                if (n, k) not in points:
-                    points[n, k] = code_points(lines[k])
-            todo.append((n, a, b, *trimmed(points[n, a], points[n, b], tau)))
-    todo.sort(key=lambda t: (max(len(t[3]), len(t[4])), t[:3]))
+            (rest if b in met else first).append((n, a, b))
+            met.add(b)
     out = []
-    for at in range(0, len(todo), 4000):
-        some = [t for t in todo[at : at + 4000] if find((t[0], t[1])) != find((t[0], t[2]))]
-        for (n, a, b, _, _), near in zip(some, within([(x, y) for *_, x, y in some], tau)):
-            if near and find((n, a)) != find((n, b)):
-                root[find((n, a))] = find((n, b))
-                out.append((blocks[n][0][a], blocks[n][0][b]))
+
+    def verify(pairs: list[tuple[int, int, int]]) -> None:
+        todo = []
+        for n, a, b in pairs:
+            if find((n, a)) != find((n, b)):
+                for k in (a, b):
+                    if (n, k) not in points:
+                        points[n, k] = code_points(blocks[n][1][k])
+                todo.append((n, a, b, *trimmed(points[n, a], points[n, b], tau)))
+        todo.sort(key=lambda t: (max(len(t[3]), len(t[4])), t[:3]))
+        for at in range(0, len(todo), 4000):
+            some = [t for t in todo[at : at + 4000] if find((t[0], t[1])) != find((t[0], t[2]))]
+            for (n, a, b, _, _), near in zip(some, within([(x, y) for *_, x, y in some], tau)):
+                if near and find((n, a)) != find((n, b)):
+                    root[find((n, a))] = find((n, b))
+                    out.append((blocks[n][0][a], blocks[n][0][b]))
+
+    verify(first)
+    verify(rest)
     return out
 
 
@@ -265,10 +276,13 @@ def dedup(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
     known = documents.where("doc_id is not null and text is not null")
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
     places = known.select("doc_id", F.posexplode(trimmed).alias("pos", "line")).where(F.length("line") >= least).select("doc_id", "pos", native_line_id(F.col("line")).alias("id"))
-    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("times")).join(classes, "id", "left").where("times > 1 or component is not null")
-    first = stored(first.withColumn("class", F.coalesce("component", "id")).select("id", "class", "first"), "firsts")
-    kept = first.groupBy("class").agg(F.min("first").alias("kept"))
-    gone = places.join(first.select("id", "class").join(kept, "class").select("id", "kept"), "id").where("not (kept.doc_id = doc_id and kept.pos = pos)")
+    first = places.groupBy("id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times")).join(classes, "id", "left").where("times > 1 or component is not null")
+    first = stored(first.select("id", F.coalesce("component", "id").alias("class"), "doc"), "firsts")
+    kept = first.groupBy("class").agg(F.min("doc").alias("kept"))
+    met = stored(places.join(first.select("id", "class").join(kept, "class"), "id"), "met_lines")
+    same = met.where("doc_id = kept")  # few: the lines of a class in the one document that keeps it
+    again = same.join(same.groupBy("class").agg(F.min("pos").alias("kept_pos")), "class").where("pos <> kept_pos")
+    gone = met.where("doc_id <> kept").select("doc_id", "pos", "id").unionByName(again.select("doc_id", "pos", "id"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"), F.collect_set("id").alias("_gone_ids"))
     rows = documents.join(gone, "doc_id", "left")
     lines = F.split("text", "\n")
