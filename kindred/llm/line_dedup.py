@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -73,8 +75,17 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], tau: int) -> np.ndarray:
     vn = np.zeros(len(pairs), np.uint64)
     score = np.full(len(pairs), tau, np.int64)
     across = np.full(len(pairs), 1 << 62, np.uint64)
+    at, near, gap = np.arange(len(pairs)), np.zeros(len(pairs), bool), n2 - n1
     with np.errstate(over="ignore"):
         for i in range(most):
+            if i % 32 == 31:  # pairs that ended leave, and those that the last 2 tau steps can't bring back to tau
+                near[at] = score <= tau
+                live = (i < n2) & (score <= 3 * tau)
+                if not live.any():
+                    at = at[:0]
+                    break
+                if not live.all():
+                    at, n1, n2, first, second, vp, vn, score, across = (x[live] for x in (at, n1, n2, first, second, vp, vn, score, across))
             x = ((first[:, i : i + width] == second[:, i : i + 1]) * weights).sum(axis=1, dtype=np.uint64)
             d0 = (((x & vp) + vp) ^ vp) | x | vn
             hp, hn = vn | ~(d0 | vp), d0 & vp
@@ -82,7 +93,9 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], tau: int) -> np.ndarray:
             score += np.where(diagonal, (d0 & top) == 0, np.where(live, ((hp & across) != 0).astype(np.int64) - ((hn & across) != 0), 0))
             across = np.where(diagonal, across, across >> one)
             vp, vn = hn | ~((d0 >> one) | hp), (d0 >> one) & hp
-    return (score <= tau) & (n2 - n1 <= tau)
+    if len(at):
+        near[at] = score <= tau
+    return near & (gap <= tau)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -257,9 +270,11 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
     blocks = blocks.withColumn("deal", F.pmod(F.xxhash64("family", "band", "a", "b"), F.lit(max(1, n // 400))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(*(group[c].tolist() for c in ("family", "band", "a", "b", "chunk", "id", "line"))))
         found = []
-        for (_, _, a, b), block in group.sort_values(["chunk", "id"]).groupby(["family", "band", "a", "b"]):
-            found.append((block.id.tolist(), block.line.tolist(), None if a == b else int((block.chunk == a).sum())))
+        for (_, _, a, b), block in groupby(rows, itemgetter(0, 1, 2, 3)):
+            chunks, ids, lines = zip(*(r[4:] for r in block))
+            found.append((list(ids), list(lines), None if a == b else chunks.count(a)))
         return pd.DataFrame(link_blocks(found, tau), columns=["u", "v"]).astype("int64")
 
     return components(blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint"))
