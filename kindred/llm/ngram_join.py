@@ -104,16 +104,9 @@ def signatures(grams: np.ndarray, c: int, f: int) -> np.ndarray:
 
 def link_block(docs: list[tuple[int, np.ndarray]], percent: int, cross: int | None, fragments: int = 8) -> list[tuple[int, int]]:
     """Links that join what is linked among docs (id, sorted n-grams); with cross, only pairs of the first `cross` docs
-    with the others are compared. A prefix index over the n-grams from rare to common proposes; fragments are summed."""
+    with the others are compared. A prefix index over the n-grams from rare to common proposes; a document's partial
+    overlaps with all its candidates are counted fragment by fragment and summed. Documents already joined are not compared."""
     n = len(docs)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     flat = np.concatenate([g for _, g in docs]) if n else np.zeros(0, np.uint64)
     if not len(flat):
         return []
@@ -127,37 +120,45 @@ def link_block(docs: list[tuple[int, np.ndarray]], percent: int, cross: int | No
     sets = [token[e - s : e] for e, s in zip(ends, sizes)]
     least = -(-percent * sizes // 100)
     prefix = sizes - least + 1
-    # postings of prefix n-grams that more than one document has
+    # postings of prefix n-grams
     pre_token = np.concatenate([s[:p] for s, p in zip(sets, prefix)])
     pre_owner = np.repeat(np.arange(n), prefix)
     order = np.lexsort((pre_owner, pre_token))
     pre_token, pre_owner = pre_token[order], pre_owner[order]
-    cuts = np.searchsorted(np.arange(len(known)), np.linspace(0, len(known), fragments + 1)[1:-1])
-    out = []
-    for i in range(n):
+    # each document's share of each fragment: cut[i, f] <= place in token < cut[i, f + 1]
+    edges = np.linspace(0, len(known), fragments + 1).astype(np.int64)
+    cut = np.stack([np.searchsorted(s, edges) for s in sets]) + (ends - sizes)[:, None]
+    label, held, out = np.arange(n), np.zeros(len(known), bool), []
+    for i in range(n if cross is None else cross):
+        lowest = i + 1 if cross is None else cross
+        if not (label[lowest:] != label[i]).any():
+            continue
         mine = sets[i][: prefix[i]]
         lo, hi = np.searchsorted(pre_token, mine), np.searchsorted(pre_token, mine, side="right")
-        if (hi - lo).max(initial=0) < 2:
+        met = np.zeros(n, bool)
+        for a, b in zip(lo[hi - lo > 1], hi[hi - lo > 1]):
+            met[pre_owner[a:b]] = True
+        met[:lowest] = False
+        found = np.flatnonzero(met & (label != label[i]))
+        found = found[100 * np.minimum(sizes[found], sizes[i]) >= percent * np.maximum(sizes[found], sizes[i])]
+        if not len(found):
             continue
-        found = np.unique(np.concatenate([pre_owner[a:b] for a, b in zip(lo, hi) if b - a > 1]))
-        found = found[found > i]
-        if cross is not None:
-            found = found[found >= cross] if i < cross else found[:0]
-        found = found[(100 * np.minimum(sizes[found], sizes[i]) >= percent * np.maximum(sizes[found], sizes[i]))]
-        parts_i = np.split(sets[i], np.searchsorted(sets[i], cuts))
-        for j in found:
-            if find(i) == find(j):
-                continue
-            need, s, rest_i, rest_j = -(-percent * int(sizes[i] + sizes[j]) // (100 + percent)), 0, int(sizes[i]), int(sizes[j])
-            parts_j = np.split(sets[j], np.searchsorted(sets[j], cuts))
-            for a, b in zip(parts_i, parts_j):  # partial overlaps, as long as the sum can still reach what is needed
-                s += len(np.intersect1d(a, b, assume_unique=True))
-                rest_i, rest_j = rest_i - len(a), rest_j - len(b)
-                if s + min(rest_i, rest_j) < need:
-                    break
-            if s >= need and s + rest_i >= 0:
-                root[find(i)] = find(j)
-                out.append((docs[i][0], docs[int(j)][0]))
+        held[sets[i]] = True
+        need = -(-percent * (sizes[found] + sizes[i]) // (100 + percent))
+        total = np.zeros(len(found), np.int64)
+        for f in range(fragments):  # partial overlaps, as long as the sum can still reach what is needed
+            low, high = cut[found, f], cut[found, f + 1]
+            length = high - low
+            starts = np.cumsum(length) - length
+            places = np.repeat(low - starts, length) + np.arange(int(length.sum()))
+            sums = np.concatenate([[0], np.cumsum(held[token[places]])])
+            total += sums[starts + length] - sums[starts]
+            open_ = total + np.minimum(cut[i, -1] - cut[i, f + 1], cut[found, -1] - high) >= need
+            found, total, need = found[open_], total[open_], need[open_]
+        held[sets[i]] = False
+        joined, first = np.unique(label[found], return_index=True)  # one link to each group that is met
+        out += [(docs[i][0], docs[int(j)][0]) for j in found[first]]
+        label[np.isin(label, joined)] = label[i]
     return out
 
 
