@@ -412,8 +412,7 @@ def q_fav_pair(s, d):
 
 @query()
 def q_sgd_fold(s, d):
-    first = scans.events_after(views.stream_events(s, d), 0, datetime(2024, 1, 1), 2000)
-    rows = sgd.sgd_fold(first)
+    rows = sgd.sgd_fold(scans.events_after(views.stream_events(s, d), -1, scans.EPOCH))
     return rows.select("kind", "id", F.round(C.norm(F.col("vec")), 6).alias("norm"))
 
 
