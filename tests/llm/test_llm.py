@@ -251,6 +251,32 @@ def test_mix(docs, empty):
     assert all(r.sampled for r in mixing.mix(docs, budget=1.0).collect()) and mixing.mix(empty).count() == 0
 
 
+def test_mix_rakes_every_source(spark):
+    """More than 64 sources, named and not, and one each called null and other beside a null one."""
+    rng = random.Random(3)
+    names = [f"s{k:03}" for k in range(90)] + ["other", "null", None]
+    rows = [(i * 97 + k, prose(rng, 5 + k % 7), "en", x) for k, x in enumerate(names) for i in range(1 + (k < 64))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = {"source": {"s000": 3.0, "s089": 2.0, None: 1.0, "s001": 0.0}}
+    got = [mixing.mix(df, budget=0.1, targets=targets, most_cells=n).collect() for n in (mixing.CELLS, 0)]  # on the driver, as a table
+    tokens = Counter()
+    for r in got[0]:
+        tokens[r.source] += r.n_tokens
+    tempered = {x: n**0.7 for x, n in tokens.items()}
+    share = {x: v / sum(tempered.values()) for x, v in tempered.items()}
+    rest = sum(share[x] for x in targets["source"])
+    want = {x: rest * targets["source"][x] / 6.0 if x in targets["source"] else share[x] for x in share}
+    for rows in got:
+        now = Counter()
+        for r in rows:
+            now[r.source] += r.weight * r.n_tokens
+        total = sum(now.values())
+        assert {x: now[x] / total for x in names} == pytest.approx(want, abs=1e-5)
+        assert sum(r.probability * r.n_tokens for r in rows) == pytest.approx(0.1 * sum(tokens.values()), rel=1e-5)
+        assert {r.source for r in rows if r.probability == 0} == {"s001"}
+    assert {r.doc_id: r.probability for r in got[1]} == pytest.approx({r.doc_id: r.probability for r in got[0]}, abs=1e-5)
+
+
 def test_patterns_hold_the_demand():
     rng = np.random.default_rng(8)
     for _ in range(5):
