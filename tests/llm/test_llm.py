@@ -277,6 +277,28 @@ def test_mix_rakes_every_source(spark):
     assert {r.doc_id: r.probability for r in got[1]} == pytest.approx({r.doc_id: r.probability for r in got[0]}, abs=1e-5)
 
 
+def test_caps_keep_the_marginals(spark):
+    """Where probabilities are capped, the marginals still hold, on the driver and as a table."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20), rng.choice("uuuuuv"), rng.choice("xxxxyyz")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    every = []
+    for n in (mixing.CELLS, 0):
+        got = mixing.mix(df, budget=0.7, temper=0.8, most_cells=n).collect()
+        every.append({r.doc_id: r.probability for r in got})
+        assert max(every[-1].values()) == pytest.approx(1.0) and len(set(every[-1].values())) > 3
+        for of in (lambda r: r.source, lambda r: r.lang, lambda r: r.topic):
+            tokens, expected = Counter(), Counter()
+            for r in got:
+                tokens[of(r)] += r.n_tokens
+                expected[of(r)] += r.probability * r.n_tokens
+            total, tempered = sum(tokens.values()), sum(t**0.8 for t in tokens.values())
+            want = {k: 0.7 * total * t**0.8 / tempered for k, t in tokens.items()}
+            assert all(want[k] <= t for k, t in tokens.items())  # can be met
+            assert dict(expected) == pytest.approx(want, rel=1e-4)
+    assert every[1] == pytest.approx(every[0], abs=1e-4)
+
+
 def test_patterns_hold_the_demand():
     rng = np.random.default_rng(8)
     for _ in range(5):
