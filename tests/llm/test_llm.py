@@ -203,6 +203,18 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"} and language_id.identify(empty, model).count() == 0
 
 
+def test_language_sample_keeps_every_language(spark):
+    rng = random.Random(6)
+    langs = {"aa": "uvo xen pil grat".split(), "bb": "ösk hamm trub lind".split(), "cc": "zyw qoj kyx vuq".split()}
+    rows = [(i, " ".join(rng.choice(langs[k]) for _ in range(20)), k) for i in range(3000) for k in ["cc" if i % 500 == 7 else ("aa", "bb")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language_id.fit(df, most=20, least=5).langs == ["aa", "bb", "cc"]  # six of 3,000 documents
+    long = df.where("doc_id < 200").union(spark.createDataFrame([(k, f"{t} " * 5000, "bb") for k, t in enumerate(langs["bb"], 5000)], df.schema))
+    assert language_id.fit(long, most_chars=19_000).langs == ["aa", "bb", "cc"]
+    model = language_id.fit(long, most_chars=19_000)  # less than any of the long texts: all others are learned from
+    assert set(langs["aa"] + langs["bb"] + langs["cc"]) <= set(model.words)
+
+
 def test_classifiers(spark, empty):
     rng = random.Random(6)
     texts = [(prose(rng, 40) + (" vile fool" if k % 4 == 0 else "") + f" {prose(rng, 20)}", int(k % 4 == 0), "en") for k in range(400)]
