@@ -35,21 +35,19 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(u, component): for each node with a link, the least node it reaches. edges: (u, v), any order, loops ignored."""
+def components(edges: DataFrame) -> DataFrame:
+    """(u, component): for each node with a link, the least node it reaches. edges: (u, v), any order, loops ignored. A round
+    halves the depth of what is left, about, so there are as many rounds as it takes. The result is stored; forget() it."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     was = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    for _ in range(rounds):
-        if was[0] == 0:
-            break
+    done = was[0] == 0
+    while not done:
         new = stored(star(star(now, True), False), "edges")
         forget(now)
         is_ = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         now, done = new, is_ == was
         was = is_
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     # settled: every node but the least of its component hangs under that one
-    return now.select("u", F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component"))).distinct()
+    out = now.select("u", F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct())
+    out._kindred_path = now._kindred_path
+    return out

@@ -73,19 +73,64 @@ def test_ngram_join(spark, docs, empty, n, percent):
     assert ngram_join.join(empty, n, percent).count() == 0
 
 
-def test_blocks_and_classes_lose_no_link():
+def near_family(rng, members, length, most):
+    """Texts that differ from one base in up to `most` words each, at random or runs of them."""
+    base, out = [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(length)], []
+    for _ in range(members):
+        ws = list(base)
+        for _ in range(rng.randint(0, most)):
+            k = rng.randrange(length)
+            ws[k : k + rng.randint(1, 4)] = [f"{rng.choice(WORDS)}{rng.randrange(40)}"]
+        out.append(" ".join(ws))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_of_large_families(spark, monkeypatch, n, percent, small):
+    """A family of 260 near copies, a common passage, exact copies and strangers, with one flush and block and with many."""
+    if small:
+        for name, value in {"FLUSH": 2000, "FRAGMENT": 100, "SALTS": 3, "CHUNK": 16}.items():
+            monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    texts = near_family(rng, 260, 90, 5)
+    passage = prose(rng, 60)
+    texts += [f"{prose(rng, k)} {passage} {prose(rng, 12 - k)}" for k in range(12)] + texts[:30] + [prose(rng, 70) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = [(k * 7 % 331, t) for k, t in enumerate(texts)]
+    assert len({i for i, _ in rows}) == len(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("component_id", F.lit("clash")).withColumn("node", F.lit(1)).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df, n, percent).collect()}
+    want = plain_components(rows, n, percent)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows) - 100
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Rows of one id are one node: 1 and 3 meet through the two texts of 2."""
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, None), (5, c)]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (5, 4)]
+
+
+def test_block_links_whatever_can_link():
     rng = np.random.default_rng(3)
-    c = ngram_join.Classes(90, 1 << 20)
-    for size in (9, 10, 40, 333):
-        for extra in range(c.partner(size) - size + 1):
+    for percent, size in [(p, s) for p in (80, 90) for s in (9, 10, 40, 333)]:
+        for extra in range(size * 100 // percent - size + 1):
             x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-            drop = max(0, (2 * len(x) + extra - 2 * c.overlap(len(x), len(x) + extra) - extra) // 2)
-            y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 63, drop + extra).astype(np.uint64)]))
-            inter = len(np.intersect1d(x, y))
-            if 100 * inter >= 90 * (len(x) + len(y) - inter) and inter < len(x):
-                own = [{s for k in c.places(len(g)) if (f := c.fragments(k)) for s in ngram_join.signatures(g, k, f).tolist()} for g in (x, y)]
-                assert own[0] & own[1]
-                assert ngram_join.link_block([(1, x), (2, y)], 90, None)
+            need = -(-percent * (2 * len(x) + extra) // (100 + percent))
+            for both in (need, need - 1):
+                y = np.unique(np.concatenate([x[len(x) - both :], rng.integers(0, 1 << 63, len(x) + extra - both).astype(np.uint64)]))
+                got = ngram_join.link_block([1, 2], [x, y], np.array([len(x), len(y)]), np.arange(2), percent, None)
+                assert bool(got) == (100 * both >= percent * (len(x) + len(y) - both))
+
+
+def test_planes():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 1000):
+        g = np.sort(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        assert (ngram_join.unplanes(ngram_join.planes(g)) == g).all()
 
 
 def test_winnowing(docs, empty, spark):
