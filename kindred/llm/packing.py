@@ -15,12 +15,13 @@ null id. Further columns are ignored.
 
 from __future__ import annotations
 
-import string
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +30,45 @@ from kindred.llm.common import stored
 UNITS = 64
 BUCKETS = 100
 PART_ROWS = 8192
-PUNCTUATION = string.punctuation
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def folded(text: str) -> str:
-    """In lower case if that can't change an id: the tokenizer lower-cases too, and one case makes entries fewer. In Latin-1
-    every letter has one lower-case letter there and no text has another normal form."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
+#: the rules of a tokenizer whose words can be told apart by white space and tokenized one by one (fixed values)
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer drops white space, never joins across it, and ends every word by tokens of their own."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    parts, model = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [], rules["model"]
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    return (
+        rules.get("normalizer") == NORMALIZER and len(parts) == 2 and parts[0] == split and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout") and not model.get("ignore_merges")
+        and not any(rules.get(x) for x in ("truncation", "padding", "post_processor"))
+    )
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """In lower case where that can't change an id: the tokenizer lower-cases too, and one case makes entries fewer. In
+    Latin-1 every letter has one lower-case letter there and no text has another normal form."""
+    return pc.if_else(pc.match_substring_regex(texts, "[^\\x00-\\x{ff}]"), texts, pc.utf8_lower(texts))
+
+
+#: punctuation that ends a word, behind a letter or number: always a token part of its own
+ENDING = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~]+(?:\s|\z))"
 
 
 class Encoder:
-    """Token ids by a tokenizer that drops white space and never joins across it, word by word through a bounded cache."""
+    """Token ids, for a tokenizer that splits_words() word by word through a bounded cache, for any other text by text.
+
+    Texts are split and their words numbered by Arrow kernels; each word met has its ids in one array, from which the ids
+    of whole texts are gathered."""
 
     def __init__(self, path: str, most: int = 900_000) -> None:
         import os
@@ -53,55 +76,104 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.by_word = Tokenizer.from_file(path), most, splits_words(path)
         self.stop = self.tokenizer.token_to_id("<|endoftext|>")
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget the words met so far: word -> its number; a number's ids are pool[start : start + size]."""
+        self.known: dict[str, int] = {"": 0}
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(4096, self.kind), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def take(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(words)] = sizes
+        self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + len(words))))
 
     def learn(self, words: list[str]) -> None:
-        """Tokenize unseen words together, a special token between them."""
-        if self.stop is None:
-            self.cache.update((w, self.whole(w)) for w in words)
-            return
+        """Tokenize unseen words together. Words of letters alone are one part each, whose last id ends a word; a special
+        token stands between the others."""
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), 2000):
+            some = letters[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(some) and len(ids) and ends[-1] == len(ids) - 1:
+                self.take(some, ids, np.diff(ends, prepend=-1))
+            else:  # some letter's lower case holds a mark
+                self.apart(some)
+        self.apart([w for w in words if not w.isalpha()])
+
+    def apart(self, words: list[str]) -> None:
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.stop)
-            raw, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            self.cache.update(zip(some, (raw[a * size : b * size] for a, b in zip(starts, ends))))
-
-    def met(self, words: set[str]) -> None:
-        """Take unseen words into the cache. Punctuation behind a letter or number is always a token part of its own, so
-        a word is tokenized once for all its endings."""
-        ended, bare = [], set()
-        for w in words:
-            core = w if w.isalpha() else w.rstrip(PUNCTUATION)
-            if len(core) < len(w) and core and core[-1] < "\u0250" and core[-1].isalnum():
-                ended.append((w, core, w[len(core) :]))
-            else:
-                bare.add(w)
-        bare.update(core for _, core, _ in ended)
-        bare.update(tail for _, _, tail in ended)
-        bare.difference_update(self.cache)
-        self.learn(list(bare))
-        get = self.cache.__getitem__
-        self.cache.update([(w, get(core) + get(tail)) for w, core, tail in ended])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(None if any(x in t for x in ODD) else folded(t).split()) if t else [] for t in texts]
-        words = set().union(*(ws for ws in split if ws))
-        new = words.difference(self.cache)
-        if len(self.cache) + 2 * len(new) > self.most:
-            self.cache.clear()
-            new = words
+            if self.stop is None:
+                every = [self.whole(w) for w in some]
+                self.take(some, np.concatenate(every), np.array([len(x) for x in every]))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.stop), [len(ids)]])
+            self.take(some, ids[ids != self.stop], np.diff(cuts) - 1)
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and how many there are before each."""
+        sizes = self.size[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(self.start[numbers] - before, sizes) + np.arange(int(sizes.sum()))], before
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each word's number, unseen words taken in. Words differ from each other."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0).tolist()
+        if len(self.known) + len(new) > self.most:
+            self.reset()
+            found[:], new = 0, [k for k, w in enumerate(words) if w]
         if new:
-            self.met(new)
-        get = self.cache.__getitem__
-        return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+            self.learn([words[k] for k in new])
+            found[new] = np.fromiter((self.known[words[k]] for k in new), np.int64, len(new))
+        return found
+
+    def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, `end` after each, and where each text begins (and the last one ends)."""
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool) if self.by_word else np.ones(len(texts), bool)
+        for x in ODD if self.by_word else ():
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(folded(pc.if_else(pa.array(odd), "", texts)), ENDING, r"\1 \2"))
+        words = lists.flatten().dictionary_encode()
+        numbers = self.numbers(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        ids, before = self.gathered(numbers)
+        places = np.append(before, len(ids))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        rest = [(k, self.whole(texts[int(k)].as_py())) for k in np.flatnonzero(odd)]
+        sizes = np.diff(places)
+        for k, own in rest:
+            sizes[k] = len(own)
+        starts = np.concatenate([[0], np.cumsum(sizes + len(end))])
+        out = np.empty(int(starts[-1]), self.kind)
+        ends = np.zeros(len(out), bool)
+        for j in range(len(end)):
+            out[starts[1:] - len(end) + j] = end[j]
+            ends[starts[1:] - len(end) + j] = True
+        for k, own in rest:
+            out[starts[k] : starts[k] + len(own)] = own
+            ends[starts[k] : starts[k] + len(own)] = True
+        out[~ends] = ids
+        return out, starts
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -122,14 +194,14 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, capacity: int)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
+        end = np.array([end_id], enc.kind)
         for batch in parts:
-            for at in range(0, batch.num_rows, 200):
-                texts = batch.column(1).slice(at, 200).to_pylist()
-                raw = [r + end for r in enc.encode(texts)]
-                ids = [np.frombuffer(r, enc.kind) for r in raw]
-                crcs = [[crc(x[k : k + capacity]) for k in range(0, len(x), capacity)] for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array([enc.kind.itemsize == 4] * len(texts))], ["doc_id", "n", "crcs", "ids", "wide"])
+            for at in range(0, batch.num_rows, 2000):
+                ids, starts = enc.encode(batch.column(1).slice(at, 2000), end)
+                n, wide = np.diff(starts), ids.astype("<u4")
+                crcs = [[zlib.crc32(wide[k : min(k + capacity, b)]) for k in range(a, b, capacity)] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * enc.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), raw, pa.array(np.full(len(n), enc.kind.itemsize == 4))], ["doc_id", "n", "crcs", "ids", "wide"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n bigint, crcs array<bigint>, ids binary, wide boolean")
 

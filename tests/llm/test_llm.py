@@ -399,15 +399,24 @@ def test_pack(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_encoder_equals_the_tokenizer():
-    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(name):
+    """Word by word through a small cache; a tokenizer that keeps white space is run on whole texts."""
+    import pyarrow as pa
+
+    path = pytest.importorskip("public_tokenizers").path(name)
     from tokenizers import Tokenizer
 
     t, e, rng = Tokenizer.from_file(path), packing.Encoder(path, most=400), random.Random(9)
-    texts = ["It's a dog's... we've!! x²³ a,b.c é̀. x　y <|endoftext|> z", "\x1ca b", "", "%%%a!!b??", "Straße, ÀÉ. 1,234.5"]
+    assert e.by_word == (name == "word_bpe_49k.json")
+    texts = ["It's a dog's... we've!! x²³ a,b.c é̀. x　y <|endoftext|> z", "\x1ca b", "", None, " \n", "%%%a!!b??", "Straße, ÀÉ. 1,234.5", "İstanbul ΑΣ ǅ ﬁ", "a\u2028b\u0085c\u200bd \u0301e"]
     texts += ["".join(rng.choice("ab' .,!é1ßÉ́² -s t'll") for _ in range(60)) for _ in range(300)]
-    for x, y in zip(e.encode(texts[:50]) + e.encode(texts[50:]), texts):
-        assert np.frombuffer(x, e.kind).tolist() == t.encode(y, add_special_tokens=False).ids
+    end = np.array([2, 3], e.kind)
+    for some in (texts[:50], texts[50:51], texts[51:], [], [None]):
+        ids, starts = e.encode(pa.array([None, *some], pa.string())[1:], end)
+        for k, x in enumerate(some):
+            assert ids[starts[k] : starts[k + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2, 3]
+        assert len(starts) == len(some) + 1 and starts[-1] == len(ids)
 
 
 def test_pipeline(spark, tmp_path, docs):
