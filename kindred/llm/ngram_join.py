@@ -35,7 +35,7 @@ from kindred.llm.components import components, dealt
 
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: n-grams that are dealt out at once, and that a fragment counts (both bound a task's memory, not what is counted)
-FLUSH, FRAGMENT = 1_000_000, 400_000
+FLUSH, FRAGMENT = 500_000, 400_000
 #: from how many documents of a flush on only a count of them travels to the fragment
 HOT = 4
 #: fragments of the global order in which the overlap of a pair is counted
@@ -388,7 +388,7 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = documents.where("doc_id is not null")
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about
     fragments = max(1, words // FRAGMENT)
-    counts = stored(counted(dealt_grams(rows, n, fragments).repartition(min(20_000, fragments // 4 + 1), "frag").sortWithinPartitions("frag")), "counts")
+    counts = stored(counted(dealt_grams(rows, n, fragments).repartition(min(20_000, fragments // 16 + 1), "frag").sortWithinPartitions("frag")), "counts")
     found = stored(candidates(counts, percent, order_of(counts)), "candidates")
     out = stored(sizes_of(counts), "sizes")
     forget(counts)

@@ -70,7 +70,7 @@ class Encoder:
     Texts are split and their words numbered by Arrow kernels; each word met has its ids in one array, from which the ids
     of whole texts are gathered."""
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
