@@ -20,11 +20,6 @@ def start_vector(kind: int, key: int, dim: int, seed: int) -> np.ndarray:
     return (np.random.default_rng([seed, kind, key & ((1 << 64) - 1)]).standard_normal(dim) * 0.01).astype(np.float32)
 
 
-def clip(v: np.ndarray, most: float) -> np.ndarray:
-    n = np.linalg.norm(v.astype(np.float64))
-    return (v * np.float32(most / n)).astype(np.float32) if most > 0 and np.isfinite(n) and n > most else v
-
-
 def levels(users: np.ndarray, posts: np.ndarray, u_level: np.ndarray, p_level: np.ndarray) -> np.ndarray:
     """1 + the greater level of the last event of the same user and of the same post; rows of u_level and p_level are
     advanced in place."""
@@ -51,16 +46,6 @@ def fold_rows(u: np.ndarray, p: np.ndarray, users: np.ndarray, posts: np.ndarray
             rows[where] = new
 
 
-def fold_loop(u: np.ndarray, p: np.ndarray, users: np.ndarray, posts: np.ndarray, actions: np.ndarray, lr: float, reg: float, most: float) -> None:
-    """The same, event by event: what fold_rows is tested against."""
-    lr32, decay = np.float32(lr), np.float32(lr * reg)
-    for i, j, act in zip(users, posts, actions):
-        a, b = u[i].copy(), p[j].copy()
-        for rows, new, where in ((u, a + lr32 * np.float32(act) * b - decay * a, i), (p, b + lr32 * np.float32(act) * a - decay * b, j)):
-            n = np.sqrt((new.astype(np.float64) ** 2).sum())
-            rows[where] = new * np.float32(most / n) if most > 0 and np.isfinite(n) and n > most else new
-
-
 def sgd_fold(events: DataFrame, state: DataFrame | None = None, *, dim: int = 64, lr: float = 0.01, reg: float = 0.001, most: float = 10.0, seed: int = 42) -> DataFrame:
     """kind ('user' or 'post'), id, vec after all events in order of event_id. state: vectors to start from, in the same
     form; entities of it without events come back as they are."""

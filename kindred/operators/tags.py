@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.config import CATEGORY_WEIGHTS
-from kindred.functions.columns import idf, multiplier, tokens
+from kindred.functions.columns import doubles, idf, l2_normalize, let, multiplier, tokens
 
 
 def tag_positions(posts: DataFrame) -> DataFrame:
@@ -14,6 +14,18 @@ def tag_positions(posts: DataFrame) -> DataFrame:
     return posts.select(F.col("id").alias("post_id"), F.posexplode(tokens(F.col("tag_string"))).alias("pos", "tag"))
 
 
+def counted_tags(posts: DataFrame) -> DataFrame:
+    """post_id, tag, n_occ, first_pos: one row for each distinct tag of a row of posts, without a shuffle. Positions are
+    sorted by tag, and the runs of equal tags counted."""
+    placed = F.sort_array(F.transform(tokens(F.col("tag_string")), lambda t, i: F.struct(t.alias("tag"), i.alias("pos"))))
+
+    def runs(a: F.Column) -> F.Column:
+        starts = F.filter(F.transform(a, lambda x, i: F.struct(x["tag"].alias("tag"), x["pos"].alias("pos"), i.alias("at"), (F.get(a, i - 1)["tag"] == x["tag"]).alias("again"))), lambda x: ~F.coalesce(x["again"], F.lit(False)))
+        return let(starts, lambda r: F.transform(r, lambda x, i: F.struct(x["tag"].alias("tag"), (F.coalesce(F.get(r, i + 1)["at"], F.size(a)) - x["at"]).cast("bigint").alias("n_occ"), x["pos"].alias("first_pos"))))
+
+    return posts.select(F.col("id").alias("post_id"), F.explode(let(placed, runs)).alias("t")).select("post_id", "t.tag", "t.n_occ", "t.first_pos")
+
+
 def token_counts(posts: DataFrame) -> DataFrame:
     t = tokens(F.col("tag_string"))
     return posts.select("id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
@@ -93,10 +105,17 @@ def offsets(top: DataFrame, record: int = 8) -> DataFrame:
 def tag_vectors(top: DataFrame, tag_emb: DataFrame) -> DataFrame:
     """post_id, dim, value: sum of weight times tag vector, normalized; zeros if the sum is zero. Tags without a vector
     are skipped. top: post_id, tag_id, weight; tag_emb: tag_id, vec."""
-    parts = top.join(tag_emb, "tag_id").select("post_id", "weight", F.posexplode("vec").alias("dim", "x"))
-    sums = parts.groupBy("post_id", "dim").agg(F.sum(F.col("weight") * F.col("x").cast("double")).alias("value"))
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("post_id")))
-    return sums.select("post_id", F.col("dim").cast("bigint").alias("dim"), F.when(norm > 0, F.col("value") / norm).otherwise(F.lit(0.0)).alias("value"))
+    rows = tag_vector_arrays(top, tag_emb).select("post_id", F.posexplode("vec").alias("dim", "value"))
+    return rows.withColumn("dim", F.col("dim").cast("bigint"))
+
+
+def tag_vector_arrays(top: DataFrame, tag_emb: DataFrame) -> DataFrame:
+    """post_id, vec array<double>: as tag_vectors(). One row for each tag of a post is shuffled, not one for each number; a
+    post's tags (at most as many as top_tags leaves) are added up in order of tag_id."""
+    held = top.join(tag_emb.select("tag_id", doubles(F.col("vec")).alias("vec")), "tag_id").groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("tag_id", F.col("weight").cast("double").alias("weight"), "vec"))).alias("t"))
+    zero = F.transform(F.get("t", F.lit(0))["vec"], lambda x: F.lit(0.0))
+    total = F.aggregate("t", zero, lambda acc, x: F.zip_with(acc, x["vec"], lambda a, b: a + x["weight"] * b))
+    return held.select("post_id", l2_normalize(total).alias("vec"))
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "post_id") -> DataFrame:

@@ -155,10 +155,10 @@ DOC_SQL = (
 
 
 def doc_weights(s: SparkSession, d: str) -> DataFrame:
-    """Words of documents as tags, all of category 0, post counts from the data: the counts per document are made once
-    and serve both as rows and, summed again, as metadata."""
-    posts = views.doc_posts(s, d)
-    rows = tags.tag_positions(posts).groupBy("post_id", "tag").agg(F.count("*").alias("n_occ"), F.min("pos").alias("first_pos"))
+    """Words of documents as tags, all of category 0, post counts from the data. A document is one row, so its repeats are
+    counted in the row; only the post counts need a shuffle of words, summed up before it."""
+    posts = views.doc_posts(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "id")  # texts once, not their words
+    rows = tags.counted_tags(posts)
     meta = rows.groupBy("tag").agg(F.count("*").alias("post_count"))
     unit = C.multiplier(F.lit(0), tags.CATEGORY_WEIGHTS) * C.idf(views.table(s, d, "documents").count(), F.col("post_count"))
     return rows.join(meta, "tag").select("post_id", "tag", "n_occ", "first_pos", (unit * F.col("n_occ")).alias("weight"))
@@ -254,12 +254,12 @@ def q_event_lag(s, d):
 
 # joins and sets
 
-UNIVERSE = "universe AS (SELECT coalesce(a.post_id, b.id) AS post_id, a.post_id IS NOT NULL AS has_cf, b.id IS NOT NULL AS has_tags FROM (SELECT DISTINCT post_id FROM favorites WHERE post_id < 150) a FULL OUTER JOIN (SELECT id FROM posts WHERE id >= 50) b ON a.post_id = b.id)"
+UNIVERSE = "universe AS (SELECT coalesce(a.post_id, b.id) AS post_id, a.post_id IS NOT NULL AS has_cf, b.id IS NOT NULL AS has_tags FROM (SELECT DISTINCT post_id FROM favorites) a FULL OUTER JOIN (SELECT id FROM posts) b ON a.post_id = b.id)"
 
 
 def universe(s: SparkSession, d: str) -> DataFrame:
-    a = views.favorites(s, d).where("post_id < 150").select("post_id").distinct().withColumn("has_cf", F.lit(True))
-    b = views.part_tags(s, d).where("id >= 50").select(F.col("id").alias("post_id"), F.lit(True).alias("has_tags"))
+    a = views.favorites(s, d).select("post_id").distinct().withColumn("has_cf", F.lit(True))
+    b = views.part_tags(s, d).select(F.col("id").alias("post_id"), F.lit(True).alias("has_tags"))
     return a.join(b, "post_id", "full_outer").select("post_id", F.coalesce("has_cf", F.lit(False)).alias("has_cf"), F.coalesce("has_tags", F.lit(False)).alias("has_tags"))
 
 
@@ -280,18 +280,20 @@ def q_fav_counts_aligned(s, d):
     return universe(s, d).join(counts.fav_count(views.favorites(s, d)), "post_id", "left").select("post_id", F.coalesce("fav_count", F.lit(0)).alias("fav_count"))
 
 
-BASE_DELTA = TOP + ", base AS (SELECT post_id, count(*) AS n_tags, 'base' AS source FROM numbered WHERE post_id % 2 = 1 GROUP BY 1), delta AS (SELECT post_id, count(*) AS n_tags, 'delta' AS source FROM numbered WHERE post_id % 3 = 0 GROUP BY 1)"
+#: the base is all posts, the delta those that changed since CHANGED
+BASE_DELTA = TOP + ", base AS (SELECT post_id, count(*) AS n_tags, 'base' AS source FROM numbered GROUP BY 1), delta AS (SELECT post_id, n_tags, 'delta' AS source FROM base JOIN posts ON id = post_id WHERE updated_at > TIMESTAMP '2001-09-01')"
 
 
 def base_and_delta(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = tags.top_tags(post_weights(s, d), 100).groupBy("post_id").agg(F.count("*").alias("n_tags"))
-    return sizes.where("post_id % 2 = 1").withColumn("source", F.lit("base")), sizes.where("post_id % 3 = 0").withColumn("source", F.lit("delta"))
+    changed = views.posts(s, d).where(F.col("updated_at") > F.lit(CHANGED)).select(F.col("id").alias("post_id"))
+    return sizes.withColumn("source", F.lit("base")), sizes.join(changed, "post_id", "left_semi").withColumn("source", F.lit("delta"))
 
 
-@query(with_views("vocab", "SELECT i.post_id, coalesce(d.n_tags, b.n_tags, 0) AS n_tags, coalesce(d.source, b.source, 'none') AS source FROM (SELECT unnest(range(0, 300, 5)) AS post_id) i LEFT JOIN delta d USING (post_id) LEFT JOIN base b USING (post_id)", BASE_DELTA))
+@query(with_views("vocab", "SELECT i.post_id, coalesce(d.n_tags, b.n_tags, 0) AS n_tags, coalesce(d.source, b.source, 'none') AS source FROM (SELECT o_orderkey AS post_id FROM orders) i LEFT JOIN delta d USING (post_id) LEFT JOIN base b USING (post_id)", BASE_DELTA))
 def q_get_many(s, d):
     base, delta = base_and_delta(s, d)
-    ids = s.range(0, 300, 5).select(F.col("id").alias("post_id"))
+    ids = views.table(s, d, "orders").select(F.col("o_orderkey").alias("post_id"))  # more keys than there are posts
     rows = ids.join(delta.select("post_id", F.col("n_tags").alias("dn"), F.col("source").alias("ds")), "post_id", "left").join(base, "post_id", "left")
     return rows.select("post_id", F.coalesce("dn", "n_tags", F.lit(0)).alias("n_tags"), F.coalesce("ds", "source", F.lit("none")).alias("source"))
 

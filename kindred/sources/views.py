@@ -67,7 +67,8 @@ def cf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """post_id, partner_id, vec, other: each vector with that of another post."""
-    rows = cf(spark, sf_dir).withColumn("partner_id", (F.col("post_id") * 7 + 1) % 500)
+    n = table(spark, sf_dir, "embeddings").count()  # from the footers
+    rows = cf(spark, sf_dir).withColumn("partner_id", (F.col("post_id") * 7 + 1) % max(1, n))
     return rows.join(cf(spark, sf_dir).select(F.col("post_id").alias("partner_id"), F.col("vec").alias("other")), "partner_id").select("post_id", "partner_id", "vec", "other")
 
 
@@ -85,7 +86,7 @@ SQL: dict[str, str] = {
     "stream_events": "SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS post_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS action, ts AS created_at FROM events",
     "doc_posts": "SELECT doc_id AS id, text AS tag_string FROM documents",
     "cf": "SELECT vec_id AS post_id, embedding::DOUBLE[] AS vec FROM embeddings",
-    "partners": "SELECT a.vec_id AS post_id, b.vec_id AS partner_id, a.embedding::DOUBLE[] AS vec, b.embedding::DOUBLE[] AS other FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % 500",
+    "partners": "SELECT a.vec_id AS post_id, b.vec_id AS partner_id, a.embedding::DOUBLE[] AS vec, b.embedding::DOUBLE[] AS other FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)",
     "known": f"SELECT post_id, tag, coalesce(category, 0) AS category, count(*) AS n_occ, min(pos) AS first_pos, max({MULT}) AS mult, max({MULT} * (ln(((SELECT count(*) FROM posts) + 1.0::DOUBLE) / (coalesce(post_count, 1) + 1.0::DOUBLE)) + 1.0)) AS unit FROM (SELECT t.post_id, t.tag, t.pos, coalesce(g.category, 0) AS category, g.post_count FROM tokens t LEFT JOIN tags g ON g.name = t.tag) GROUP BY 1, 2, 3",
     "weights": "SELECT post_id, tag, category, n_occ, first_pos, unit * n_occ AS weight FROM known WHERE mult <> 0",
     "vocab": "SELECT row_number() OVER (ORDER BY m) - 1 AS tag_id, tag FROM (SELECT tag, min(struct_pack(p := post_id, f := first_pos)) AS m FROM weights GROUP BY tag)",

@@ -8,6 +8,7 @@ import pytest
 
 from kindred.operators import sgd
 from kindred.plans import catalogue
+from plain import fold_loop
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,7 +47,7 @@ def test_sgd_fold_takes_all_events(spark, tmp_path):
     ev = [(i, datetime(2023 + i % 3, 1, 1), int(u), "error" if e else "click", f'{{"k": {p}}}') for i, (u, p, e) in enumerate(zip(users, posts, errors))]
     spark.createDataFrame(ev, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     vecs = [np.stack([sgd.start_vector(kind, k, 64, 42) for k in range(size)]) for kind, size in enumerate((41, 61))]
-    sgd.fold_loop(*vecs, users, posts, np.where(errors, -1, 1), 0.01, 0.001, 10.0)
+    fold_loop(*vecs, users, posts, np.where(errors, -1, 1), 0.01, 0.001, 10.0)
     want = {(name, k): np.linalg.norm(v.astype(np.float64)) for name, vs in zip(("user", "post"), vecs) for k, v in enumerate(vs)}
     got = {(r.kind, r.id): r.norm for r in catalogue.q_sgd_fold(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-6)
