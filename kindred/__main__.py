@@ -1,4 +1,4 @@
-"""python -m kindred update [--backfill] --data FOLDER [--models FOLDER] | similar --post ID ..."""
+"""python -m kindred update [--backfill] (--data FOLDER | --jdbc URL) [--models FOLDER] | similar --post ID ..."""
 
 from __future__ import annotations
 
@@ -17,7 +17,10 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     up = commands.add_parser("update", help="fold new events, or rebuild all")
     up.add_argument("--backfill", action="store_true")
-    up.add_argument("--data", required=True, help="folder with posts, tags, favorites and favorite_events as Parquet")
+    where = up.add_mutually_exclusive_group(required=True)
+    where.add_argument("--data", help="folder with posts, tags, favorites and favorite_events as Parquet")
+    where.add_argument("--jdbc", help="URL of a database with these tables")
+    up.add_argument("--jdbc-option", action="append", default=[], metavar="NAME=VALUE", help="for instance driver=..., user=..., password=...")
     ask = commands.add_parser("similar", help="print the posts most similar to one")
     ask.add_argument("--post", type=int, required=True)
     ask.add_argument("--limit", type=int, default=6)
@@ -31,8 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     config = EngineConfig.from_env()
     config = replace(config, model_dir=args.models) if args.models else config
     if args.command == "update":
-        read = lambda name: spark.read.parquet(f"{args.data}/{name}")
-        sources = Sources(read("posts"), read("tags"), read("favorites"), read("favorite_events"))
+        options = dict(x.split("=", 1) for x in args.jdbc_option)
+        sources = Sources.parquet(spark, args.data) if args.data else Sources.jdbc(spark, args.jdbc, **options)
         print((backfill if args.backfill else update)(spark, sources, config))
     else:
         Engine.open(spark, config).similar(args.post, args.limit, args.explain, mode=args.mode).orderBy("rank").show(truncate=False)

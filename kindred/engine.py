@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from datetime import datetime
 
@@ -13,19 +15,41 @@ from pyspark.sql import functions as F
 
 from kindred.config import EngineConfig
 from kindred.functions import columns as C
-from kindred.operators import counts, sgd, similarity, tags
+from kindred.operators import ann, counts, sgd, similarity, tags
 from kindred.operators.store import EPOCH, ModelNotLoaded, Snapshot, State, Writer, version_name
 from kindred.sources import scans
 
 log = logging.getLogger(__name__)
-#: counters and gauges of the last runs, by name
+#: counters, gauges and the last durations, by name; a label stands in braces
 METRICS: dict[str, float] = {}
 
 
+def counted(name: str, by: float = 1) -> None:
+    METRICS[name] = METRICS.get(name, 0) + by
+
+
+@contextmanager
+def request(endpoint: str) -> Iterator[None]:
+    """Count a request by endpoint and status, and time it."""
+    start, status = time.time(), "500"
+    try:
+        yield
+        status = "200"
+    except (UnknownModeError, ValueError):
+        status = "422"
+        raise
+    finally:
+        counted(f"api_requests_total{{{endpoint},{status}}}")
+        METRICS[f"api_request_duration_seconds{{{endpoint}}}"] = time.time() - start
+
+
 class UnknownModeError(ValueError):
     """The model has no such mode."""
 
 
+SOURCE_TABLES = ("posts", "tags", "favorites", "favorite_events")
+
+
 @dataclass
 class Sources:
     """posts(id, tag_string, updated_at), tags(name, category, post_count), favorites(user_id, post_id),
@@ -36,6 +60,25 @@ class Sources:
     favorites: DataFrame
     events: DataFrame
 
+    @staticmethod
+    def parquet(spark: SparkSession, folder: str) -> Sources:
+        return Sources(*(spark.read.parquet(f"{folder}/{name}") for name in SOURCE_TABLES))
+
+    @staticmethod
+    def jdbc(spark: SparkSession, url: str, partitions: int = 32, **options: str) -> Sources:
+        """The four tables of a database, tried again while it can't be reached; large ones are read by many tasks, in
+        ranges of their key."""
+
+        def read(name: str) -> DataFrame:
+            key = {"posts": "id", "favorites": "user_id", "favorite_events": "event_id"}.get(name)
+            low = high = None
+            if key:
+                quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+                low, high = scans.with_retry(lambda: scans.read_jdbc(spark, url, f"(SELECT min({quoted}) AS low, max({quoted}) AS high FROM {name}) AS bounds", **options).first())
+            return scans.with_retry(lambda: scans.read_jdbc(spark, url, name, key=key, bounds=(int(low), int(high) + 1) if low is not None else None, partitions=partitions, **options))
+
+        return Sources(*(read(name) for name in SOURCE_TABLES))
+
 
 def tag_embeddings(vocab: DataFrame, dim: int, seed: int) -> DataFrame:
     """tag_id, vec: N(0, 1) * 0.01 seeded by the id, so that growth keeps the old ones."""
@@ -61,7 +104,7 @@ def publish(spark: SparkSession, config: EngineConfig, *, top: DataFrame, vocab:
         raise ValueError("stored vectors have another length than the configuration asks for")
     emb = tag_embeddings(vocab, config.embedding_dim, config.seed)
     flat = top.select("post_id", F.explode("tags").alias("t")).select("post_id", F.col("t.tag_id").cast("bigint").alias("tag_id"), F.col("t.weight").cast("double").alias("weight"))
-    dims = tags.tag_vectors(flat, emb).groupBy("post_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"].cast("float")).alias("tagvec"))
+    dims = tags.tag_vector_arrays(flat, emb).select("post_id", F.transform("vec", lambda x: x.cast("float")).alias("tagvec"))
     rows = universe.join(posts_cf.withColumnRenamed("vec", "cf"), "post_id", "left").join(dims, "post_id", "left").select("post_id", F.coalesce("cf", zero).alias("cf"), F.coalesce("tagvec", zero).alias("tagvec"))
     aligned = universe.join(fav, "post_id", "left").select("post_id", F.coalesce("fav_count", F.lit(0)).alias("fav_count"))
     with Writer(spark, config.model_dir, config.keep_versions) as w:
@@ -70,6 +113,9 @@ def publish(spark: SparkSession, config: EngineConfig, *, top: DataFrame, vocab:
             # rounded to half precision, as vectors are meant to be stored; by position, so files can be skipped by id
             vec = F.transform(C.blend(F.col("cf"), F.col("tagvec"), w_cf, w_tag), lambda x: C.f16_round(x).cast("float"))
             w.mode(mode, rows.select("post_id", vec.alias("vec")).repartitionByRange("post_id").sortWithinPartitions("post_id"))
+            written = w.staged(f"post_vectors/mode={mode}").select("post_id", "vec")
+            cells = ann.centroids(written, w.counts["fav_count"], seed=config.seed)
+            w.index(mode, spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(cells)], "cell int, vec array<double>"), ann.celled(written, cells))
         done = w.finish()
     METRICS["updater_index_rebuild_seconds"] = time.time() - start
     return done
@@ -124,11 +170,13 @@ def update(spark: SparkSession, sources: Sources, config: EngineConfig, now: dat
     changed = scans.changed_posts(sources.posts, seen)
     fresh, vocab = top_and_vocab(sources, changed, config, old.table("tag_vocab"), ["updated_at", "post_id"])
     top = tags.upsert(old.table("post_top_tags"), fresh)
-    newest = changed.agg(F.max("updated_at")).first()[0]
+    newest, n_changed = changed.agg(F.max("updated_at"), F.count("*")).first()
     if newest and (seen is None or newest > seen):
         state = replace(state, last_posts_updated_at=newest.isoformat())
     out = publish(spark, config, top=top, vocab=vocab, cf=cf, fav=fav, state=state, version=version)
-    METRICS.update(updater_events_processed_total=METRICS.get("updater_events_processed_total", 0) + latest.n, updater_watermark_event_id=state.last_event_id, updater_run_duration_seconds=time.time() - start)
+    counted("updater_events_processed_total", latest.n)
+    counted("updater_changed_posts_total", n_changed)
+    METRICS.update(updater_watermark_event_id=state.last_event_id, updater_run_duration_seconds=time.time() - start)
     return out
 
 
@@ -136,7 +184,7 @@ class Engine:
     """Queries over one published version, which stays the same until refresh()."""
 
     def __init__(self, spark: SparkSession, config: EngineConfig) -> None:
-        self.spark, self.config, self.snapshot = spark, config, None
+        self.spark, self.config, self.snapshot, self._indexes = spark, config, None, {}
 
     @staticmethod
     def open(spark: SparkSession, config: EngineConfig) -> Engine:
@@ -149,7 +197,11 @@ class Engine:
         return engine
 
     def refresh(self) -> None:
-        self.snapshot = Snapshot(self.spark, self.config.model_dir)
+        self.snapshot, self._indexes = Snapshot(self.spark, self.config.model_dir), {}
+        for name in [n for n in METRICS if n.startswith("api_model_version_info")]:
+            del METRICS[name]
+        METRICS[f"api_model_version_info{{{self.snapshot.version}}}"] = 1
+        METRICS["api_ann_index_size"] = self.snapshot.manifest["rows"].get("fav_count", 0)
 
     def ready(self) -> str | None:
         """The version in use."""
@@ -162,26 +214,45 @@ class Engine:
             raise UnknownModeError(mode)
         return self.snapshot.vectors(mode)
 
-    def similar(self, post_id: int, limit: int = 6, explain: bool = False, include_scores: bool = True, mode: str = "favorites") -> DataFrame:
-        """rank, post_id, score[, shared_tags, fav_query, fav_candidate] of the most similar posts; empty for an unknown one."""
-        if not 1 <= limit <= 20:
-            raise ValueError("limit must be from 1 to 20")
-        found = similarity.similar_to(self._vectors(mode), post_id, limit)
-        if not include_scores:
-            found = found.withColumn("score", F.lit(0.0))
-        return self._explained(found, post_id) if explain else found
-
-    def similar_batch(self, ids: DataFrame, limit: int = 6, mode: str = "favorites") -> DataFrame:
-        """query_id, rank, post_id, score for many posts at once."""
-        vectors = self._vectors(mode)
-        return similarity.similar_all(vectors.join(ids.select("post_id").distinct(), "post_id", "left_semi"), vectors, limit)
+    def similar(self, post_id: int, limit: int = 6, explain: bool = False, include_scores: bool = True, mode: str = "favorites", probes: int | None = None) -> DataFrame:
+        """rank, post_id, score[, shared_tags, fav_query, fav_candidate] of the most similar posts; empty for an unknown one.
+        With probes, only that many cells of the index are read."""
+        with request("/similar"):
+            if not 1 <= limit <= 20:
+                raise ValueError("limit must be from 1 to 20")
+            vectors = self._vectors(mode)
+            index = self._index(mode) if probes else None
+            if index is not None:
+                own = vectors.where(F.col("post_id") == post_id).select("vec").first()
+                near = ann.nearest_cells(index[0], np.array(own.vec), probes) if own else []
+                mine = vectors.where(F.col("post_id") == post_id).select("post_id", "vec")  # the query itself may lie in any cell
+                vectors = index[1].where(F.col("cell").isin(near) & (F.col("post_id") != post_id)).select("post_id", "vec").unionByName(mine)
+            found = similarity.similar_to(vectors, post_id, limit)
+            if not include_scores:
+                found = found.withColumn("score", F.lit(0.0))
+            return self._explained(found, post_id) if explain else found
+
+    def _index(self, mode: str) -> tuple[np.ndarray, DataFrame] | None:
+        """The mode's search index, its centroids read once for a version."""
+        if mode not in self._indexes:
+            self._indexes[mode] = self.snapshot.index(mode)
+        return self._indexes[mode]
+
+    def similar_batch(self, ids: DataFrame, limit: int = 6, mode: str = "favorites", probes: int | None = ann.PROBES) -> DataFrame:
+        """query_id, rank, post_id, score for many posts at once, found in the `probes` nearest cells of the index; exactly,
+        by comparing all blocks, with probes None or in a version without index."""
+        with request("/similar_batch"):
+            vectors = self._vectors(mode)
+            asked, index = vectors.join(ids.select("post_id").distinct(), "post_id", "left_semi"), self._index(mode) if probes else None
+            return similarity.similar_all(asked, vectors, limit) if index is None else ann.similar_approx(asked, index[1], index[0], limit, probes)
 
     def _explained(self, found: DataFrame, post_id: int) -> DataFrame:
         top, vocab, fav = (self.snapshot.table(t) for t in ("post_top_tags", "tag_vocab", "fav_count"))
-        own = top.where(F.col("post_id") == post_id).select(F.col("tags").alias("own"))
-        rows = found.join(top, "post_id", "left").join(F.broadcast(own)).select("rank", "post_id", "score", C.let(F.coalesce("tags", F.array().cast("array<struct<tag_id:int,weight:float>>")), lambda t: tags.shared_pair(t, F.col("own"), self.config.m_shared_tags)).alias("shared"))
+        empty = F.array().cast("array<struct<tag_id:int,weight:float>>")
+        own = top.where(F.col("post_id") == post_id).agg(F.coalesce(F.first("tags", True), empty).alias("own"))  # one row, also for a post without tags
+        rows = found.join(top, "post_id", "left").join(F.broadcast(own)).select("rank", "post_id", "score", C.let(F.coalesce("tags", empty), lambda t: tags.shared_pair(t, F.col("own"), self.config.m_shared_tags)).alias("shared"))
         names = rows.select("post_id", F.posexplode("shared").alias("pos", "t")).select("post_id", "pos", F.col("t.tag_id").cast("bigint").alias("tag_id")).join(vocab, "tag_id", "left")
         names = names.groupBy("post_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tag", F.concat(F.lit("tag_"), "tag_id")).alias("tag")))), lambda x: x["tag"]).alias("shared_tags"))
-        query = fav.where(F.col("post_id") == post_id).select(F.col("fav_count").alias("fav_query"))
+        query = fav.where(F.col("post_id") == post_id).agg(F.coalesce(F.first("fav_count", True), F.lit(0)).alias("fav_query"))
         out = rows.drop("shared").join(names, "post_id", "left").join(fav.withColumnRenamed("fav_count", "fav_candidate"), "post_id", "left").join(F.broadcast(query))
         return out.select("rank", "post_id", "score", F.coalesce("shared_tags", F.array().cast("array<string>")).alias("shared_tags"), "fav_query", F.coalesce("fav_candidate", F.lit(0)).alias("fav_candidate"))

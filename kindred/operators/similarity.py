@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,12 +65,3 @@ def similar_all(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLO
 def score_breakdown(cf: Column, cf_other: Column, tag: Column, tag_other: Column) -> tuple[Column, Column]:
     return F.round(cosine(cf, cf_other), 4), F.round(cosine(tag, tag_other), 4)
 
-
-def f16_block(vectors: DataFrame) -> DataFrame:
-    """vectors (post_id, vec) with vec rounded to half precision, in numpy batches."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"post_id": p.post_id, "vec": [np.asarray(v, np.float64).astype(np.float16).astype(np.float32) for v in p.vec]})
-
-    return vectors.select("post_id", "vec").mapInPandas(run, "post_id bigint, vec array<float>")

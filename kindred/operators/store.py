@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, fields, replace
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ class Files:
     """Small file operations by Hadoop's API."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
         self.root = root.rstrip("/")
         self.fs = self.path("").getFileSystem(self.conf)
 
@@ -71,6 +72,9 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self.path(name)).getLen()
+
     def write(self, name: str, text: str) -> None:
         """Whole or not at all: written beside, then renamed over."""
         beside = f"{name}.{uuid.uuid4().hex}.tmp"
@@ -79,9 +83,11 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(self.path(beside), self.path(name)):
-            raise OSError(f"can't write {name}")
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        # one step of the file system: readers see the old text or the new one
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(beside), self.path(name), over)
 
     def rename(self, name: str, to: str) -> None:
         if self.exists(to):
@@ -116,6 +122,9 @@ class Writer:
     def _put(self, table: str, df: DataFrame) -> None:
         df.write.option("compression", "zstd").mode("errorifexists").parquet(f"{self.files.root}/{self.stage}/{table}")
 
+    def staged(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.files.root}/{self.stage}/{table}")
+
     def begin(self, version: str, modes: Iterable[str], dim: int, state: State, **tables: DataFrame) -> None:
         """Stage what the modes share. tables: of TABLES, but for post_vectors."""
         modes = [checked_mode(m) for m in modes]
@@ -153,6 +162,13 @@ class Writer:
             raise ValueError(f"{bad} vectors not of length {self.dim}" if bad else f"{n} vectors for {self.counts['fav_count']} posts")
         self.done.add(mode)
 
+    def index(self, mode: str, cells: DataFrame, rows: DataFrame) -> None:
+        """Stage one mode's search index: centroids (cell, vec) and vectors (cell, post_id, vec), files in order of cell."""
+        if mode not in self.done:
+            raise RuntimeError("the mode's vectors come first")
+        self._put(f"ann_cells/mode={mode}", cells.coalesce(1))
+        self._put(f"ann/mode={mode}", rows.repartitionByRange("cell").sortWithinPartitions("cell", "post_id"))
+
     def finish(self) -> str:
         """Publish: one rename, then the pointer, then old versions go."""
         if not self.stage:
@@ -194,12 +210,26 @@ class Snapshot:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.files.root}/versions/{self.version}/{name}")
 
+    def index(self, mode: str) -> tuple[np.ndarray, DataFrame] | None:
+        """Centroids and vectors (cell, post_id, vec) of a mode's search index; None for a version without one."""
+        if not self.files.exists(f"versions/{self.version}/ann/mode={checked_mode(mode)}"):
+            return None
+        cells = self.table(f"ann_cells/mode={mode}").orderBy("cell").toPandas().vec  # a few thousand rows at most
+        return np.stack(cells.to_numpy()), self.table(f"ann/mode={mode}")
+
     def vectors(self, mode: str) -> DataFrame:
         return self.table(f"post_vectors/mode={checked_mode(mode)}")
 
 
+#: a legacy file of more bytes is not read; fixed value
+LEGACY_BYTES = 256 << 20
+
+
 class TopTagsStore:
-    """post_id -> top tags: a base on disk and a delta in memory or as a DataFrame; the delta wins."""
+    """post_id -> top tags: a base on disk and a delta in memory or as a DataFrame; the delta wins.
+
+    A store whose base is there but could not be read is `broken`: it answers from its delta, and refuses to be saved, as
+    that would lose the base."""
 
     SCHEMA = "post_id bigint, tags array<struct<tag_id:int,weight:float>>"
 
@@ -207,20 +237,41 @@ class TopTagsStore:
         self.spark = spark
         self.base = base if base is not None else spark.createDataFrame([], self.SCHEMA)
         self.delta: dict[int, list[tuple[int, float]]] = {}
+        self.broken = False
 
     @staticmethod
-    def load(spark: SparkSession, path: str, on_error: Callable[[Exception], None] | None = None) -> TopTagsStore:
-        """What was saved, or an empty store if there is none that can be read."""
-        try:
-            df = spark.read.parquet(path)
-            return TopTagsStore(spark, df.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("tags").cast("array<struct<tag_id:int,weight:float>>").alias("tags")))
-        except Exception as e:
-            if on_error:
-                on_error(e)
-            return TopTagsStore(spark)
+    def load(spark: SparkSession, path: str, on_error: Callable[[Exception], None] | None = None, legacy: str | None = None, most: int = LEGACY_BYTES) -> TopTagsStore:
+        """What was saved at path; else what the legacy JSON file holds, unless it is larger than `most` bytes; else an empty
+        store. on_error hears of a base that is there but can't be read, and of a legacy file that can't be used."""
+        tell, broken = on_error or (lambda e: None), False
+        if Files(spark, path).exists(""):
+            try:
+                df = spark.read.parquet(path)
+                df = df.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("tags").cast("array<struct<tag_id:int,weight:float>>").alias("tags"))
+                df.limit(1).collect()
+                return TopTagsStore(spark, df)
+            except Exception as e:
+                tell(e)
+                broken = True
+        store = None
+        if legacy is not None:
+            folder, _, name = legacy.rpartition("/")
+            files = Files(spark, folder)
+            if files.exists(name):
+                try:
+                    if files.size(name) > most:
+                        raise ValueError("legacy file too large")
+                    store = TopTagsStore.from_legacy_json(spark, files.read(name), most)
+                except Exception as e:
+                    tell(e)
+        if store is not None:
+            return store  # whole by itself, also beside a broken base
+        store = TopTagsStore(spark)
+        store.broken = broken
+        return store
 
     @staticmethod
-    def from_legacy_json(spark: SparkSession, raw: str, most: int = 256 << 20) -> TopTagsStore:
+    def from_legacy_json(spark: SparkSession, raw: str, most: int = LEGACY_BYTES) -> TopTagsStore:
         """From {"<post_id>": [[tag_id, weight], ...]}; larger texts are refused."""
         if len(raw) > most:
             raise ValueError("legacy file too large")
@@ -254,7 +305,8 @@ class TopTagsStore:
         return upsert(self.base.select("post_id", "tags"), self.spark.createDataFrame(list(self.delta.items()), self.SCHEMA)) if self.delta else self.base
 
     def keys(self) -> DataFrame:
-        return self.merged().select("post_id")
+        new = self.spark.createDataFrame([(k,) for k in self.delta], "post_id bigint")
+        return self.base.select("post_id").union(new).distinct() if self.delta else self.base.select("post_id")
 
     def get_many(self, ids: DataFrame) -> DataFrame:
         """ids (post_id) with their tags; none for unknown ones."""
@@ -262,6 +314,8 @@ class TopTagsStore:
 
     def save(self, path: str) -> None:
         """To a new folder, never the one being read; the store goes on from there."""
+        if self.broken:
+            raise RuntimeError("the base could not be read, saving would lose it: load the store again or rebuild it")
         self.merged().write.mode("errorifexists").parquet(path)
         self.base, self.delta = self.spark.read.parquet(path), {}
 

@@ -5,11 +5,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from kindred.config import EngineConfig, checked_mode
-from kindred.engine import Engine, Sources, UnknownModeError, backfill, update
+from kindred.engine import METRICS, Engine, Sources, UnknownModeError, backfill, update
 from kindred.functions import columns as C
-from kindred.operators import counts, sgd, similarity, tags
-from kindred.operators.store import ModelNotLoaded, Snapshot, State, TopTagsStore, Writer, decode_top_tags, encode_top_tags, version_name
+from kindred.operators import ann, counts, sgd, similarity, tags
+from kindred.operators.store import Files, ModelNotLoaded, Snapshot, State, TopTagsStore, Writer, decode_top_tags, encode_top_tags, prune, version_name
 from kindred.sources import scans
+from plain import fold_loop
 
 T0 = datetime(2024, 1, 1)
 
@@ -83,7 +84,7 @@ def test_wavefront_equals_the_loop():
         users, items, act = rng.integers(0, 20, 800), rng.integers(0, 15, 800), rng.choice([-1, 1], 800)
         a, b, c, d = u.copy(), p.copy(), u.copy(), p.copy()
         sgd.fold_rows(a, b, users, items, act, 0.05, 0.01, most)
-        sgd.fold_loop(c, d, users, items, act, 0.05, 0.01, most)
+        fold_loop(c, d, users, items, act, 0.05, 0.01, most)
         assert np.array_equal(a, c) and np.array_equal(b, d)
 
 
@@ -200,3 +201,143 @@ def test_stream_folds_once(spark, tmp_path):
         run_updates(event_stream(spark, str(tmp_path / "in")), sources, config, str(tmp_path / check), now=lambda: datetime(2024, 2, 2), version=lambda b, c=check: f"v-{c}-{b}").awaitTermination(120)
     got = {r.post_id: r.fav_count for r in Snapshot(spark, config.model_dir).table("fav_count").collect()}
     assert got == {0: 2, 1: 2, 2: 2}
+
+
+def test_reaction_only_post_is_explained(spark, tmp_path):
+    """A post known by favorites alone has vectors but no tags: its neighbours come with empty shared tags."""
+    p = posts(spark, [(i, f"t{i % 3} s{i % 2}", T0) for i in range(6)])
+    fav = spark.createDataFrame([(u, q) for u in range(4) for q in (0, 1, 2, 77) if (u + q) % 2 == 0], "user_id bigint, post_id bigint")
+    ev = spark.createDataFrame([], "event_id bigint, user_id bigint, post_id bigint, action bigint, created_at timestamp_ntz")
+    config = EngineConfig(model_dir=str(tmp_path), embedding_dim=8)
+    backfill(spark, Sources(p, meta(spark, []), fav, ev), config, version="v1")
+    engine = Engine.open(spark, config)
+    plain, told = (engine.similar(77, 3, explain=x).orderBy("rank").collect() for x in (False, True))
+    assert [(r.post_id, r.score) for r in told] == [(r.post_id, r.score) for r in plain] and len(told) == 3
+    assert all(r.shared_tags == [] and r.fav_query == 2 for r in told)
+    assert engine.similar(78, 3, explain=True).count() == 0
+
+
+def test_unreadable_base_is_not_saved_over(spark, tmp_path):
+    (tmp_path / "base").mkdir()
+    (tmp_path / "base" / "part-0.parquet").write_bytes(b"not a table")
+    (tmp_path / "old.json").write_text('{"1": [[2, 0.5]]}')
+    told = []
+    s = TopTagsStore.load(spark, str(tmp_path / "base"), told.append)
+    assert s.broken and len(told) == 1 and s.get(1) is None
+    s[4] = [(1, 1.0)]
+    with pytest.raises(RuntimeError):
+        s.save(str(tmp_path / "out"))
+    assert s[4] == [(1, 1.0)] and not (tmp_path / "out").exists()
+    s = TopTagsStore.load(spark, str(tmp_path / "base"), told.append, legacy=str(tmp_path / "old.json"))
+    assert s[1] == [(2, 0.5)] and not s.broken
+    s.save(str(tmp_path / "out"))
+    s = TopTagsStore.load(spark, str(tmp_path / "none"), legacy=str(tmp_path / "old.json"))
+    assert s[1] == [(2, 0.5)]
+    s = TopTagsStore.load(spark, str(tmp_path / "none"), told.append, legacy=str(tmp_path / "old.json"), most=5)
+    assert s.get(1) is None and not s.broken and isinstance(told[-1], ValueError)
+    s[1] = []
+    s.save(str(tmp_path / "new"))
+    assert TopTagsStore.load(spark, str(tmp_path / "new"))[1] == []
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    for text in ("v1", "v2", "v3"):
+        files.write("CURRENT", text)
+        assert files.read("CURRENT") == text
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["CURRENT"]
+    deleted, files.fs = [], type("Fs", (), {"__getattr__": lambda self, name, fs=files.fs: deleted.append(name) or getattr(fs, name)})()
+    files.write("CURRENT", "v4")
+    assert "delete" not in deleted and (tmp_path / "CURRENT").read_text() == "v4"
+
+
+def test_prune_keeps_all_with_zero(spark, tmp_path):
+    for v in ("a", "b", "c"):
+        (tmp_path / "versions" / v).mkdir(parents=True)
+    files = Files(spark, str(tmp_path))
+    assert prune(files, 0) == [] and prune(files, 2) == ["a"] and files.names("versions") == ["b", "c"]
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_index_recall(spark, block):
+    """The inverted file finds at least 0.9 of the exact neighbours, also where a third of all vectors are equal."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(30, 16))
+    x = np.concatenate([centers[rng.integers(0, 30, 1000)] + 0.4 * rng.normal(size=(1000, 16)), np.tile(centers[:1], (500, 1)), np.zeros((1, 16))])
+    df = spark.createDataFrame([(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)], "post_id bigint, vec array<float>").repartition(4)
+    cells = ann.centroids(df, len(x))
+    assert len(cells) == int(len(x) ** 0.5)
+    index, asked = ann.celled(df, cells), df.where("post_id % 20 = 0 or post_id = 1500")
+    got = {(r.query_id, r.post_id): r.score for r in ann.similar_approx(asked, index, cells, 5, 8, block).collect()}
+    want = {(r.query_id, r.post_id): r.score for r in similarity.similar_all(asked, df, 5).collect()}
+    assert index.count() == len(x) and len(got) == len(want)
+    real = {k for k in want if k[0] != 1500}
+    assert len(real & set(got)) >= 0.9 * len(real) and all(got[k] == want[k] for k in real & set(got))
+
+
+def test_engine_searches_the_index(spark, tmp_path):
+    p = posts(spark, [(i, f"t{i % 7} s{i % 5} u{i % 3}", T0) for i in range(60)])
+    fav = spark.createDataFrame([(u, q) for u in range(9) for q in range(60) if (u * q) % 4 == 1], "user_id bigint, post_id bigint")
+    ev = spark.createDataFrame([], "event_id bigint, user_id bigint, post_id bigint, action bigint, created_at timestamp_ntz")
+    config = EngineConfig(model_dir=str(tmp_path), embedding_dim=8)
+    backfill(spark, Sources(p, meta(spark, []), fav, ev), config, version="v1")
+    engine = Engine.open(spark, config)
+    ids = p.select(F.col("id").alias("post_id"))
+    read = lambda df: {(r.query_id, r["rank"]): (r.post_id, r.score) for r in df.collect()}
+    exact = read(engine.similar_batch(ids, 3, probes=None))
+    assert read(engine.similar_batch(ids, 3, probes=7)) == exact and len(read(engine.similar_batch(ids, 3, probes=1))) <= len(exact)
+    assert [(r.post_id, r.score) for r in engine.similar(5, 3, probes=7).orderBy("rank").collect()] == [exact[5, k] for k in (1, 2, 3)]
+    assert engine.similar(999, 3, probes=2).count() == 0
+    assert METRICS["api_model_version_info{v1}"] == 1 and METRICS["api_ann_index_size"] == 60 and METRICS["api_requests_total{/similar,200}"] >= 2
+    before = METRICS.get("api_requests_total{/similar,422}", 0)
+    with pytest.raises(ValueError):
+        engine.similar(5, 21)
+    assert METRICS["api_requests_total{/similar,422}"] == before + 1
+
+
+def test_sources_of_a_database(spark, tmp_path):
+    """The four tables by JDBC, in ranges of their keys (Derby, which Spark brings along)."""
+    url = "jdbc:derby:memory:kindred;create=true"
+    p = posts(spark, [(i, f"t{i % 3}", T0) for i in range(10)])
+    tables = {"posts": p, "tags": meta(spark, [("t0", 4, 3)]), "favorites": spark.createDataFrame([(u, q) for u in range(4) for q in range(10) if (u + q) % 3 == 0], "user_id bigint, post_id bigint")}
+    tables["favorite_events"] = spark.createDataFrame([], "event_id bigint, user_id bigint, post_id bigint, action bigint, created_at timestamp_ntz")
+    for name, df in tables.items():
+        df.write.option("createTableColumnTypes", "tag_string VARCHAR(99)" if name == "posts" else "name VARCHAR(99)" if name == "tags" else "post_id BIGINT").jdbc(url, name, mode="overwrite")
+    sources = Sources.jdbc(spark, url, partitions=3)
+    assert sources.favorites.rdd.getNumPartitions() == 3
+    for name, got in zip(("posts", "tags", "favorites", "favorite_events"), (sources.posts, sources.tags, sources.favorites, sources.events)):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tables[name].collect()))
+    config = EngineConfig(model_dir=str(tmp_path), embedding_dim=4)
+    assert backfill(spark, sources, config, version="v1") == "v1" and Engine.open(spark, config).similar(1, 2).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kindred.__main__ import main
+
+    posts(spark, [(i, f"t{i % 2}", T0) for i in range(4)]).write.parquet(str(tmp_path / "data" / "posts"))
+    meta(spark, []).write.parquet(str(tmp_path / "data" / "tags"))
+    spark.createDataFrame([(1, 0), (1, 2)], "user_id bigint, post_id bigint").write.parquet(str(tmp_path / "data" / "favorites"))
+    spark.createDataFrame([], "event_id bigint, user_id bigint, post_id bigint, action bigint, created_at timestamp_ntz").write.parquet(str(tmp_path / "data" / "favorite_events"))
+    assert main(["update", "--backfill", "--data", str(tmp_path / "data"), "--models", str(tmp_path / "m")]) == 0
+    assert main(["similar", "--post", "0", "--explain", "--models", str(tmp_path / "m")]) == 0
+    assert "shared_tags" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["update", "--backfill"])
+
+
+def test_clamped_counts_of_many_ranges(spark, monkeypatch):
+    """One post with most of the events, cut into ranges."""
+    monkeypatch.setattr(counts, "RANGE", 16)
+    rng = np.random.default_rng(6)
+    ev = [(i, 0, int(rng.integers(3)) * int(rng.integers(2)), int(rng.choice([-1, -1, 1]))) for i in range(500)]
+    want = {0: 2}
+    for _, _, p, a in ev:
+        want[p] = max(0, want.get(p, 0) + a)
+    got = counts.clamped_counts(spark.createDataFrame(ev, "event_id bigint, user_id bigint, post_id bigint, action bigint"), spark.createDataFrame([(0, 2)], "post_id bigint, fav_count bigint"))
+    assert {r.post_id: r.fav_count for r in got.collect()} == want
+
+
+def test_counted_tags(spark):
+    df = spark.createDataFrame([(1, "b a b  c a b"), (2, None), (3, " "), (4, "x")], "id bigint, tag_string string")
+    got = sorted(tuple(r) for r in tags.counted_tags(df).collect())
+    assert got == [(1, "a", 2, 1), (1, "b", 3, 0), (1, "c", 1, 3), (4, "x", 1, 0)]
