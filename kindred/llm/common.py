@@ -9,7 +9,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where all run in one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,15 +65,34 @@ def bounded_sample(df: DataFrame, key: Column, most: int, seed: int) -> DataFram
     return df if total <= most else df.where(hashed_share(key, seed) < most / total)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> list[tuple[str, int, str]]:
-    """(text, label, lang) of about `most` labelled documents at most, none of whose remainder is `held`.
+def bounded_texts(rows: DataFrame, most_chars: int) -> list[Row]:
+    """The rows of a sample (with text), in the order of their texts' hashes as far as `most_chars` characters go; a text that
+    exceeds what is left is skipped. Only lengths reach the driver before that is settled."""
+    kept = stored(rows.withColumn("_hash", F.xxhash64("text")).withColumn("_size", F.coalesce(F.char_length("text"), F.lit(0))), "sample")
+    left, chosen = most_chars, []
+    for r in sorted(kept.groupBy("_hash", "_size").count().collect()):  # a row for each text of the sample at most
+        if r["_size"] * r["count"] <= left:
+            left -= r["_size"] * r["count"]
+            chosen.append((r["_hash"], r["_size"]))
+    if not chosen:
+        forget(kept)
+        return []
+    wanted = rows.sparkSession.createDataFrame(chosen, "_hash bigint, _size int")
+    out = kept.join(F.broadcast(wanted), ["_hash", "_size"]).drop("_hash", "_size").collect()
+    forget(kept)
+    return out
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, most_chars: int = 60_000_000) -> list[tuple[str, int, str]]:
+    """(text, label, lang) of about `most` labelled documents at most, none of whose remainder is `held`, and of
+    `most_chars` characters at most: of a sample with more, texts that exceed what is left are skipped.
 
     The chosen label rows are bounded by `most`, hence safe to broadcast. Null labels and ids are left out; an id
     with several labels takes their rounded mean.
     """
     own = labels.select("doc_id", F.col(label).alias("y")).where("y is not null and doc_id is not null").where(fold(F.col("doc_id"), folds) != held)
     own = bounded_sample(own, F.col("doc_id"), most, 7).groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
-    rows = documents.select("doc_id", "text", "lang").join(F.broadcast(own), "doc_id").select("text", "y", "lang").collect()
+    rows = bounded_texts(documents.select("doc_id", "text", "lang").join(F.broadcast(own), "doc_id").select("text", "y", "lang"), most_chars)
     return sorted((r.text or "", int(r.y > 0), r.lang or "") for r in rows)
 
 

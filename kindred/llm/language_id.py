@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, hashed_share
+from kindred.llm.common import bounded_texts, fold, forget, hashed_share, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -125,23 +125,21 @@ def learn(pairs: list[tuple[str, str]], least: int = 2) -> Model:
 def fit(documents: DataFrame, *, folds: int = 5, held: int = 0, most: int = 1500, most_chars: int = 6_000_000, least: int = 50) -> Model:
     """Learn from text and lang of a sample outside the held-out fold, chosen by the hash of the id: about `most` documents
     in proportion, and of each language about `least` at least (all, if it has no more). A text that exceeds what is left
-    of `most_chars` characters is skipped; a language of which all are gets the start of its shortest text."""
+    of `most_chars` characters is skipped; a language of which all are gets the start of its shortest text. Only
+    the texts that are learned from reach the driver."""
     known = documents.where("lang is not null and text is not null").where(fold(F.col("doc_id"), folds) != held)
     counts = known.groupBy("lang").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     shares = counts.select("lang", F.least(F.lit(1.0), F.greatest(F.lit(most / max(total, 1)), F.lit(float(least)) / F.col("count"))).alias("_share"))
-    rows = known.join(F.broadcast(shares), "lang").where(hashed_share(F.col("doc_id"), 3) < F.col("_share")).select("text", "lang").collect()  # one row a language
-    left, taken, met = most_chars, [], set()
-    for text, lang in sorted(((r.text, r.lang) for r in rows), key=lambda r: (hash_of(r[0]), r)):
-        if len(text) <= left:
-            left -= len(text)
-            taken.append((text, lang))
-            met.add(lang)
-    for text, lang in sorted(((r.text, r.lang) for r in rows), key=lambda r: (len(r[0]), r)):
-        if lang not in met:
-            taken.append((text[: max(1000, most_chars // 100)], lang))
-            met.add(lang)
-    return learn(taken)
+    rows = known.join(F.broadcast(shares), "lang").where(hashed_share(F.col("doc_id"), 3) < F.col("_share")).select("text", "lang")  # one row a language
+    sample = stored(rows, "sample")
+    taken = [(r.text, r.lang) for r in bounded_texts(sample, most_chars)]
+    met = {lang for _, lang in taken}
+    start = F.left("text", F.lit(max(1000, most_chars // 100)))
+    short = sample.where(~F.col("lang").isin(sorted(met))) if met else sample
+    taken += [(r.m["text"], r.lang) for r in short.groupBy("lang").agg(F.min(F.struct(F.char_length("text").alias("size"), start.alias("text"))).alias("m")).collect()]
+    forget(sample)
+    return learn(sorted(taken, key=lambda r: (hash_of(r[0]), r)))
 
 
 def hash_of(text: str) -> int:

@@ -9,7 +9,7 @@ The first line (by doc_id, then position) of each class of linked lines stays, t
 A line counts without white space at its ends, and takes part if it then has at least `least` characters. Defined
 results: null texts stay null; shorter lines stay; rows with a null id neither lose lines nor make others lose them;
 rows that share an id are one document (equal lines at one position stay or go together). Lines are told apart by 64-bit
-hashes. Further columns are kept as they are.
+hashes. Further columns are kept as they are, but for ones of the names that are added (n_lines, n_dropped), which go.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bit_filter, may_hold, mix64, stored
+from kindred.llm.common import bit_filter, forget, may_hold, mix64, stored
 from kindred.llm.components import components, dealt
+from kindred.llm.winnowing import let
 
 TAU, LEAST = 2, 30
 BLANK = " \t\r\x0b\x0c"
 CHUNK = 64
+GONE = "_places_that_go"
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -244,7 +246,7 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
     met = stored(met, "met")
     # few keys meet others: the rest goes before it is shuffled again
     stars = keyed(spark.sparkContext.broadcast(bit_filter(met, "key"))).join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-    families = stored(components(stars), "families")
+    families = components(stars)
     wanted = families.select(F.col("u").alias("id"), F.col("component").alias("family"))
     n = wanted.count()
     chosen = spark.sparkContext.broadcast(bit_filter(wanted, "id"))
@@ -277,31 +279,48 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
             found.append((list(ids), list(lines), None if a == b else chunks.count(a)))
         return pd.DataFrame(link_blocks(found, tau), columns=["u", "v"]).astype("int64")
 
-    return components(blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint"))
+    out = components(blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint"))
+    for used in (met, families):
+        forget(used)
+    return out
 
 
 def native_line_id(line):
     return F.xxhash64(line).bitwiseAND(F.lit(-2))
 
 
+def place(pos: Column, line: Column) -> Column:
+    """A line's position above half of its id."""
+    return F.shiftleft(pos.cast("bigint"), 32) + line.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def dedup(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """Every column of documents, text without the lines that go, and n_lines and n_dropped."""
     spark: SparkSession = documents.sparkSession
-    classes = stored(line_classes(documents, tau, least), "classes").select(F.col("u").alias("id"), "component")
+    linked = line_classes(documents, tau, least)
+    classes = linked.select(F.col("u").alias("id"), "component")
     known = documents.where("doc_id is not null and text is not null")
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK)))
     places = known.select("doc_id", F.posexplode(trimmed).alias("pos", "line")).where(F.length("line") >= least).select("doc_id", "pos", native_line_id(F.col("line")).alias("id"))
     first = places.groupBy("id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times")).join(classes, "id", "left").where("times > 1 or component is not null")
     first = stored(first.select("id", F.coalesce("component", "id").alias("class"), "doc"), "firsts")
+    forget(linked)
     kept = first.groupBy("class").agg(F.min("doc").alias("kept"))
     met = stored(places.join(first.select("id", "class").join(kept, "class"), "id"), "met_lines")
+    forget(first)
     same = met.where("doc_id = kept")  # few: the lines of a class in the one document that keeps it
     again = same.join(same.groupBy("class").agg(F.min("pos").alias("kept_pos")), "class").where("pos <> kept_pos")
     gone = met.where("doc_id <> kept").select("doc_id", "pos", "id").unionByName(again.select("doc_id", "pos", "id"))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"), F.collect_set("id").alias("_gone_ids"))
-    rows = documents.join(gone, "doc_id", "left")
-    lines = F.split("text", "\n")
-    stays = lambda x, i: ~F.coalesce(F.array_contains("_gone", i) & F.array_contains("_gone_ids", native_line_id(F.btrim(x, F.lit(BLANK)))), F.lit(False))
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("_stay", F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), F.filter(lines, stays)))
-    rows = rows.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_stay"), F.lit(0)).cast("bigint"))
-    return rows.withColumn("text", F.when(F.col("_stay").isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n"))).select(*documents.columns, "n_lines", "n_dropped")
+    gone = gone.groupBy("doc_id").agg(F.collect_set(place(F.col("pos"), F.col("id"))).alias(GONE))
+    own = [c for c in documents.columns if c not in ("n_lines", "n_dropped", GONE)]
+    rows = documents.select(*own).join(gone, "doc_id", "left")
+
+    def left(lines: Column) -> Column:
+        """The lines whose place is not one of those that go; array_except looks them up by hash."""
+        every = F.transform(lines, lambda x, i: place(i, native_line_id(F.btrim(x, F.lit(BLANK)))))
+        return F.transform(F.array_except(every, GONE), lambda k: F.get(lines, F.shiftright(k, 32).cast("int")))
+
+    stay = F.when(F.col(GONE).isNotNull() & F.col("text").isNotNull(), let(F.split("text", "\n"), left))
+    out = rows.select(*own, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"), stay.alias(GONE))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(GONE, "\n")).alias("text")
+    return out.select(*(text if c == "text" else c for c in own), "n_lines", F.coalesce(F.col("n_lines") - F.size(GONE), F.lit(0)).cast("bigint").alias("n_dropped"))

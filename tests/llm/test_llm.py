@@ -210,11 +210,98 @@ def test_edit_distance():
 def test_line_dedup(docs, empty, spark):
     line = "this is a line of enough length to count"
     rows = [(1, f"short\n{line}\nend"), (2, f"{line[:-1]}\nshort"), (3, f"x{line} \n{line.replace('enough', 'plenty')}"), (3, f"x{line} \n{line.replace('enough', 'plenty')}"), (4, None), (None, line), (5, ""), (6, line.replace("line", "lane"))]
-    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash")).drop("n_lines"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clash = df.select(*(F.lit("clash").alias(c) for c in ("n_lines", "_gone", "id", "component")), "*", *(F.lit(1).alias(c) for c in ("n_dropped", "kept", "class", line_dedup.GONE)))
+    got = line_dedup.dedup(clash)
+    assert got.columns == ["_gone", "id", "component", "doc_id", "text", "kept", "class", "n_lines", "n_dropped"]
+    got = common.stored(got, "t")
     assert sorted(((r.doc_id or 0, r.text or "", r.n_dropped) for r in got.collect())) == sorted([(0, line, 0), (1, rows[0][1], 0), (2, "short", 1), (3, line.replace("enough", "plenty"), 1), (3, line.replace("enough", "plenty"), 1), (4, "", 0), (5, "", 0), (6, "", 1)])
     assert line_dedup.dedup(empty).count() == 0
 
 
+def plain_dedup(rows, tau, least):
+    """Texts without later lines of a class, classes by comparing all lines with each other."""
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > tau:
+            return False
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            q = [i + 1]
+            for j, y in enumerate(b):
+                q.append(min(q[-1] + 1, p[j + 1] + 1, p[j] + (x != y)))
+            p = q
+        return p[-1] <= tau
+
+    every = sorted({w for _, t in rows for x in t.split("\n") if len(w := x.strip(line_dedup.BLANK)) >= least})
+    root = {x: x for x in every}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(every):
+        for b in every[:k]:
+            if find(a) != find(b) and near(a, b):
+                root[find(a)] = find(b)
+    met, out = set(), []
+    for i, t in sorted(rows):
+        stay = []
+        for x in t.split("\n"):
+            w = x.strip(line_dedup.BLANK)
+            if len(w) < least or find(w) not in met:
+                stay.append(x)
+            if len(w) >= least:
+                met.add(find(w))
+        out.append((i, "\n".join(stay)))
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Families larger than a chunk, chains of edits, and one text of many lines that go."""
+    rng = random.Random(14)
+    bases, lines = [prose(rng, 7) for _ in range(3)], []
+    for _ in range(110):
+        x = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "z"])
+        lines.append("".join(x))
+    assert max(Counter(min(bases, key=lambda b: abs(len(b) - len(x))) for x in lines).values()) > 16
+    rows = [(k, "\n".join(rng.choice([*lines, "short", prose(rng, 6)]) + rng.choice(["", " ", "\t"]) for _ in range(rng.randint(0, 4)))) for k in range(60)]
+    rows.append((60, "\n".join(rng.choice(lines) for _ in range(3000))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    old, line_dedup.CHUNK = line_dedup.CHUNK, 16
+    try:
+        got = sorted((r.doc_id, r.text) for r in line_dedup.dedup(df).collect())
+    finally:
+        line_dedup.CHUNK = old
+    assert got == plain_dedup(rows, line_dedup.TAU, line_dedup.LEAST)
+
+
+def test_samples_are_bounded(spark):
+    rows = [(k, "x" * (10 * k + 1), 1, 1) for k in range(40)] + [(40, None, 1, 1), (41, "y" * 100_000, 0, 0)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _, _ in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id bigint, quality int, toxic int")
+    got = common.labelled_sample(docs, labels, "toxic", 3, 1, 1000, most_chars=3000)
+    assert 2000 < sum(len(t) for t, _, _ in got) <= 3000 and any(t == "" for t, _, _ in got) == (zlib.crc32(b"40") % 3 != 1)
+    assert common.bounded_texts(docs.where("doc_id = 41"), 10) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Spark:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Spark.conf)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Spark)
+
+
 def test_pivot_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)).astype(np.float32))] + [(1000 + i, [0.5] * 6) for i in range(40)]
