@@ -24,7 +24,8 @@ from kindred.llm.winnowing import let
 #: label and words of the phrases whose places are counted; fixed by the contract of the query
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
-#: Short notices by which works name their licence: label, text, phrases that must stand in the file. Fixed values.
+#: Notices by which works name their licence, and clauses of the licences' own texts that hold no name or year: label, words,
+#: phrases that must stand in the file. Fixed values.
 TEMPLATES = (
     ("mit", "Released under the MIT License", ("mit license",)),
     ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
@@ -45,9 +46,27 @@ TEMPLATES = (
     ("isc", "Permission to use copy modify and or distribute this software for any purpose", ("permission to use copy modify",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("proprietary", "All rights reserved", ("all rights reserved",)),
+    ("mit", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the Software and to permit persons to whom the Software is furnished to do so", ("sublicense and or sell copies", "persons to whom the software is furnished")),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("this permission notice shall be included",)),
+    ("bsd", "Redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code must retain",)),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form must reproduce",)),
+    ("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
+    ("bsl", "Permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the Software to use reproduce display distribute execute and transmit the Software", ("any person or organization obtaining a copy",)),
+    ("apache", "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or implied See the License for the specific language governing permissions and limitations under the License", ("agreed to in writing software distributed under the license", "limitations under the license")),
+    ("apache", "Subject to the terms and conditions of this License each Contributor hereby grants to You a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare Derivative Works of publicly display publicly perform sublicense and distribute the Work and such Derivative Works in Source or Object form", ("each contributor hereby grants to you a perpetual",)),
+    ("gpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ("terms of the gnu general public license",)),
+    ("lgpl", "This library is free software you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("terms of the gnu lesser general public license",)),
+    ("agpl", "This program is free software you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("terms of the gnu affero general public license",)),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License v 2 0 If a copy of the MPL was not distributed with this file You can obtain one at", ("source code form is subject to the terms of the mozilla public license",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ("eclipse public license",)),
+    ("unlicense", "Anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute this software",)),
+    ("artistic", "You may distribute your Modified Version as Source either gratis or for a Distributor Fee under the Artistic License", ("artistic license",)),
+    ("cc0", "To the greatest extent permitted by but not in contravention of applicable law Affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of Affirmer s Copyright and Related Rights", ("unconditionally waives abandons and surrenders all",)),
+    ("cc-by", "Subject to the terms and conditions of this Public License the Licensor hereby grants You a worldwide royalty free non sublicensable non exclusive irrevocable license to exercise the Licensed Rights in the Licensed Material", ("non sublicensable non exclusive irrevocable license to exercise the licensed rights",)),
 )
 #: a text without any of these stems can't match a template
-STEMS = ("licen", "creative commons", "permission", "redistribution", "unencumbered", "rights reserved", "cc by")
+STEMS = ("licen", "creative commons", "permission", "redistribution", "unencumbered", "anyone is free", "affirmer", "rights reserved", "cc by")
 RARE_WORDS = 6
 LEAST_SHARE = 0.6
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -114,7 +133,7 @@ def scan(documents: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     # base phrases need "license"; the pattern tolerates any separators, hence the bare stem
     edges = lambda ws: F.size(ws) - F.when(F.get(ws, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(ws) > 1) & (F.element_at(ws, -1) == ""), 1).otherwise(0)
     out = documents.withColumn("n_words", let(F.split(text, RAW_SEPARATORS), edges).cast("bigint"))
-    out = out.withColumn("_low", low).withColumn("_stem", stem | F.expr("_low rlike 'cc[^a-z0-9]{1,3}by|rights[^a-z0-9]+reserved|creative[^a-z0-9]+commons|cc0'")).drop("_low")
+    out = out.withColumn("_low", low).withColumn("_stem", stem | F.expr("_low rlike 'cc[^a-z0-9]+by|rights[^a-z0-9]+reserved|creative[^a-z0-9]+commons|anyone[^a-z0-9]+is[^a-z0-9]+free|cc0'")).drop("_low")
     out = out.withColumn("_words", F.when(F.col("_stem"), cut).otherwise(F.array().cast("array<string>")))
     for label, phrase in BASE:
         out = out.withColumn(f"_{label}", F.when(F.col("_stem"), phrase_places(F.col("_words"), phrase)).otherwise(F.array().cast("array<int>")))

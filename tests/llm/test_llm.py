@@ -183,6 +183,22 @@ def test_license_templates(spark):
     assert [r.labels for r in licenses.digest(rows).orderBy("doc_id").collect()] == ["cc-by-nc", "proprietary", "", "", "bsd"]
 
 
+def test_every_template_is_found(spark):
+    """Each notice within other words, its own words apart by any separators; without a mandatory phrase it is not found."""
+    rng = random.Random(15)
+    rows = []
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        rows.append((2 * k, f"{prose(rng, 9)} {''.join(w + rng.choice([' ', chr(10) + ' * ', '  --  ', ', ', ' /// ']) for w in words)} {prose(rng, 9)}"))
+        rows.append((2 * k + 1, " ".join(w for w in words for w in (w, "zz"))))
+    got = {r.doc_id: r for r in licenses.digest(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[2 * k].labels.split(",") and got[2 * k].score >= licenses.LEAST_SHARE
+        assert got[2 * k + 1].labels == ""
+    odd = spark.createDataFrame([(1, "under CC  --  BY-NC 4.0 terms"), (2, "Licensed\n#\n#   under CC ... BY ... SA 4.0")], "doc_id int, text string")
+    assert [r.labels for r in licenses.digest(odd).orderBy("doc_id").collect()] == ["cc-by-nc", "cc-by-sa"]
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
