@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Every k consecutive words hash to a gram; of every `window` consecutive grams the one of least hash is chosen, the
+Every k consecutive words hash to a gram, by the polynomial of their hashes that a rolling hash (Karp and Rabin) keeps; an
+array expression can't carry a running value, so the polynomials of 1, 2, 4 .. words are joined to those of k. Of every `window` consecutive grams the one of least hash is chosen, the
 rightmost at ties; a fingerprint is the chosen (hash, position) pairs in order. Two texts that share
 window + k - 1 words in a row share a chosen gram (the match guarantee), and positions say where. Words are the parts
 of the lower-cased text between white space. A text of fewer than k words is one gram; a text without words (or null)
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 K = 5
 WINDOW = 8
 POSITIONS = (1 << 31) - 1
+#: the polynomials' prime modulus and base
+PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: rows in a bucket of the order by id, and the most buckets; both bound what the driver holds, not what is computed
-BUCKET_ROWS, MOST_BUCKETS = 256, 8192
+BUCKET_ROWS, MOST_BUCKETS = 256, 65_536
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,11 +39,33 @@ def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
     trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\r\f\x0b"))
 
     def keyed(gram: Column, i: Column | int) -> Column:
-        return F.shiftleft(gram.bitwiseAND(F.lit(POSITIONS).cast("bigint")), 32) + (F.lit(POSITIONS).cast("bigint") - i)
+        return F.shiftleft(gram, 32) + (F.lit(POSITIONS).cast("bigint") - i)
+
+    def rolled(h: Column, body: Callable[[Column], Column]) -> Column:
+        """body(polynomials of the k hashes from each place on); null where there are fewer."""
+
+        def grown(p: Column, n: int) -> Column:
+            if n == k:
+                return body(p)
+            return let(joined(p, n, p, n), lambda q: grown(q, 2 * n)) if 2 * n <= k else rest(p, n, k - n)
+
+        def rest(p: Column, n: int, more: int) -> Column:  # the further `more` hashes one power of two after the other
+            if not more:
+                return body(p)
+            return tail(h, 1, lambda q, m: let(joined(p, n, q, m), lambda r: rest(r, n + m, more - m)), more)
+
+        def tail(p: Column, n: int, then: Callable[[Column, int], Column], most: int) -> Column:
+            return let(joined(p, n, p, n), lambda q: tail(q, 2 * n, then, most)) if 2 * n <= most else then(p, n)
+
+        return grown(h, 1)
+
+    def joined(a: Column, n: int, b: Column, m: int) -> Column:
+        return F.transform(a, lambda x, i: (x * F.lit(pow(BASE, m, PRIME)).cast("bigint") + F.get(b, i + n)) % F.lit(PRIME).cast("bigint"))
 
     def grams(h: Column) -> Column:
-        each = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: keyed(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))), i))
-        return F.when(F.size(h) >= k, each).otherwise(F.array(keyed(F.xxhash64(h), 0)))
+        each = rolled(h, lambda p: F.transform(F.slice(p, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))), keyed))
+        whole = F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, x: (acc * F.lit(BASE).cast("bigint") + x) % F.lit(PRIME).cast("bigint"))
+        return F.when(F.size(h) >= k, each).otherwise(F.array(keyed(whole, 0)))
 
     def minima(keys: Column, reach: int) -> Column:
         """keys: at each place the least of `reach` from there on; a pass triples that at most, until it is `window`."""
@@ -49,7 +74,7 @@ def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
         steps = sorted({min(reach, window - reach), min(2 * reach, window - reach)})
         return let(F.transform(keys, lambda x, i: F.least(x, *(F.get(keys, i + s) for s in steps))), lambda more: minima(more, steps[-1] + reach))
 
-    own = let(F.transform(F.split(trimmed, "\\s+"), lambda w: F.xxhash64(w)), lambda h: let(grams(h), lambda keys: minima(keys, 1)))
+    own = let(F.transform(F.split(trimmed, "\\s+"), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME).cast("bigint"))), lambda h: let(grams(h), lambda keys: minima(keys, 1)))
     return F.when(F.length(trimmed) == 0, F.array().cast("array<bigint>")).otherwise(own)
 
 
@@ -78,9 +103,10 @@ def bucketed(documents: DataFrame) -> tuple[DataFrame, int]:
         more = documents.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 4 * wanted)).first()[0]
         bounds = sorted({low, *more})
     last, side = max(0, len(bounds) - 1), max(1, int(len(bounds) ** 0.5))
-    array = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs)) if xs else F.array().cast("array<bigint>")
+    # as text, which is folded into one constant however many there are
+    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
     # two steps: among every side-th bound, then among the side bounds from there
-    coarse, fine = F.expr(f"array({', '.join(f'{x}L' if x >= 0 else f'cast({x} as bigint)' for x in bounds[::side])})") if bounds else array([]), F.expr(f"array({', '.join(f'cast({x} as bigint)' for x in bounds)})") if bounds else array([])
+    coarse, fine = array(bounds[::side]), array(bounds)
     rank = let(F.greatest(F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0)) * side, lambda at: at + F.size(F.filter(F.slice(fine, at + 1, F.lit(side)), lambda b: b <= F.col("doc_id"))) - 1)
     found = F.when(F.col("doc_id").isNull() | F.lit(not bounds), F.lit(0)).otherwise(rank)
     out = documents.withColumn("bucket", found)

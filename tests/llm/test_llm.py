@@ -157,6 +157,43 @@ def plain_print(rows, texts, text):
     return next(rows[i].fingerprint.split() for i, t in texts if t == text)
 
 
+@pytest.mark.parametrize(("k", "window"), [(5, 8), (1, 1), (2, 4), (3, 5), (7, 3), (8, 9)])
+def test_winnowing_against_plain_minima(spark, k, window):
+    import xxhash
+
+    def plain(text):
+        low = text.lower().strip(" \t\n\r\f\x0b")
+        h = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)))) % winnowing.PRIME for w in low.split()] if low else []
+        value = lambda ws: sum(x * pow(winnowing.BASE, len(ws) - 1 - j, winnowing.PRIME) for j, x in enumerate(ws)) % winnowing.PRIME
+        grams = [value(h[i : i + k]) for i in range(len(h) - k + 1)] or ([value(h)] if h else [])
+        out = []
+        for i in range(max(1, len(grams) - window + 1) if grams else 0):
+            part = grams[i : i + window]
+            at = max(j for j, g in enumerate(part) if g == min(part)) + i
+            if (grams[at], at) not in out:
+                out.append((grams[at], at))
+        return " ".join(f"{g:X}:{at}" for g, at in out)
+
+    rng = random.Random(16)
+    texts = ["", " \n", "one", "A b", "a a a a a a a a a a a a", *(" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))) for _ in range(30)), prose(rng, 2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", winnowing.as_text(winnowing.chosen(F.col("text"), k, window)).alias("p"))
+    assert {r.i: r.p for r in rows.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_order_of_many_buckets(spark, monkeypatch):
+    """Next documents across bucket bounds, with negative, repeated and null ids, and columns of clashing names."""
+    monkeypatch.setattr(winnowing, "BUCKET_ROWS", 3)
+    rows = [(i, f"text {i}") for i in (-50, -3, 0, 1, 2, 5, 5, 5, 9, 1 << 40, None, None)] + [(i, f"more {i}") for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").select(*(F.lit(1).alias(c) for c in ("bucket", "ghost", "fp")), "*", F.lit(2).alias("edited")).repartition(4)
+    got = {(r.doc_id, r.edited_sha256) for r in winnowing.digest(df).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = set()
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want.add((i, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert got == want
+
+
 def test_rightmost_ties(spark):
     got = spark.createDataFrame([("a a a a a a a a a a a a a",)], "text string").select(winnowing.as_text(winnowing.chosen(F.col("text"), 2, 4)).alias("p")).first().p
     assert [int(x.split(":")[1]) for x in got.split()] == list(range(3, 12))
