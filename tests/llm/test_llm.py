@@ -471,6 +471,13 @@ def test_mix(docs, empty):
     assert all(r.sampled for r in mixing.mix(docs, budget=1.0).collect()) and mixing.mix(empty).count() == 0
 
 
+def balanced_topics():
+    """The fullest of eight groups of hash buckets: topics of about one size, in all sources."""
+    centers = np.zeros((8, mixing.TERMS))
+    centers[np.arange(mixing.TERMS) % 8, np.arange(mixing.TERMS)] = 1
+    return mixing.Topics(np.ones(mixing.TERMS), centers)
+
+
 def test_mix_rakes_every_source(spark):
     """More than 64 sources, named and not, and one each called null and other beside a null one."""
     rng = random.Random(3)
@@ -478,7 +485,7 @@ def test_mix_rakes_every_source(spark):
     rows = [(i * 97 + k, prose(rng, 5 + k % 7), "en", x) for k, x in enumerate(names) for i in range(1 + (k < 64))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     targets = {"source": {"s000": 3.0, "s089": 2.0, None: 1.0, "s001": 0.0}}
-    got = [mixing.mix(df, budget=0.1, targets=targets, most_cells=n).collect() for n in (mixing.CELLS, 0)]  # on the driver, as a table
+    got = [mixing.mix(df, budget=0.1, targets=targets, most_cells=n, topics=balanced_topics()).collect() for n in (mixing.CELLS, 0)]  # on the driver, as a table
     tokens = Counter()
     for r in got[0]:
         tokens[r.source] += r.n_tokens
@@ -504,7 +511,7 @@ def test_caps_keep_the_marginals(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     every = []
     for n in (mixing.CELLS, 0):
-        got = mixing.mix(df, budget=0.7, temper=0.8, most_cells=n).collect()
+        got = mixing.mix(df, budget=0.7, temper=0.8, most_cells=n, topics=balanced_topics()).collect()
         every.append({r.doc_id: r.probability for r in got})
         assert max(every[-1].values()) == pytest.approx(1.0) and len(set(every[-1].values())) > 3
         for of in (lambda r: r.source, lambda r: r.lang, lambda r: r.topic):
@@ -519,6 +526,37 @@ def test_caps_keep_the_marginals(spark):
     assert every[1] == pytest.approx(every[0], abs=1e-4)
 
 
+def test_topics_part_subjects(spark):
+    """Texts of three vocabularies fall into clusters of their own, whatever common words they share; equal texts together."""
+    rng = random.Random(17)
+    common_words = [prose(rng, 1) + "ation" for _ in range(20)]
+    subjects = [[f"{rng.choice(WORDS)}{rng.choice(WORDS)}{x}" for _ in range(30)] for x in "xyz"]
+    rows = [(k, " ".join(rng.choice(subjects[k % 3] if rng.random() < 0.5 else common_words) for _ in range(40))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    topics = mixing.learn_topics(df, topics=3)
+    odd = spark.createDataFrame([(1000, None), (1001, ""), (1002, "a b c"), (1003, rows[0][1])], "doc_id bigint, text string")
+    got = {r.doc_id: (r.topic, r.n_tokens) for r in mixing.with_topics(df.union(odd), topics).collect()}
+    met = Counter((k % 3, got[k][0]) for k in range(300))
+    assert len({t for _, t in met}) == 3 and sum(max(met[s, t] for t in range(3)) for s in range(3)) >= 290
+    assert [got[k][1] for k in range(300)] == [40] * 300 and [got[k] for k in (1000, 1001, 1002)] == [(0, 0), (0, 0), (0, 3)] and got[1003] == got[0]
+
+
+def test_sample_meets_the_marginals(spark):
+    """The documents that are sampled, not only the expected ones, have the target shares of each source."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, rng.randint(5, 40)), "en", rng.choice("aaaaaabbc")) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    goal = {"a": 0.3, "b": 0.3, "c": 0.4}
+    kept, tokens = Counter(), Counter()
+    for r in mixing.mix(df, budget=0.25, targets={"source": goal}).collect():
+        tokens[r.source] += r.n_tokens
+        kept[r.source] += r.n_tokens * r.sampled
+    total = sum(tokens.values())
+    assert sum(kept.values()) == pytest.approx(0.25 * total, rel=0.06)
+    for x, share in goal.items():
+        assert kept[x] / sum(kept.values()) == pytest.approx(share, abs=0.03)
+
+
 def test_patterns_hold_the_demand():
     rng = np.random.default_rng(8)
     for _ in range(5):
