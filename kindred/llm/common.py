@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -49,6 +51,28 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Let the driver find what is not used any more, so that Spark deletes the shuffle files of steps that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which the worker hands the memory that it freed back to the system."""
+
+    def inner(parts: Iterator) -> Iterator:
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return inner
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -106,7 +130,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", step: int = 256) -> It
 class HashCache(dict):
     """word -> unsigned 64-bit hash, made on first use and bounded in size."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 
