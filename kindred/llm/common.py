@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,10 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own setting to delete a query's shuffle files when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write df as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors. The shuffle
+    files that it took are deleted then."""
+    path, conf = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kindred_path = path
     return out
@@ -51,14 +61,15 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def clean(spark: SparkSession) -> None:
-    """Let the driver find what is not used any more, so that Spark deletes the shuffle files of steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: bytes of the batches that travel to Python workers, where the session sets none: texts may be long
+BATCH_BYTES = 8 << 20
 
 
-def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, after which the worker hands the memory that it freed back to the system."""
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run) in batches of bounded size; a worker that is done hands the memory that it freed back to the system."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
 
     def inner(parts: Iterator) -> Iterator:
         try:
@@ -70,7 +81,7 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
             except (AttributeError, OSError):  # not glibc
                 pass
 
-    return inner
+    return df.mapInArrow(inner, schema)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

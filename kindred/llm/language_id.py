@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_texts, fold, forget, hashed_share, releasing, stored
+from kindred.llm.common import bounded_texts, fold, forget, hashed_share, mapped, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -166,4 +166,4 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], [*own, "lang_pred", "score"])
 
-    return documents.mapInArrow(releasing(run), schema)
+    return mapped(documents, run, schema)

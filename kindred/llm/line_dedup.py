@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bit_filter, clean, forget, may_hold, mix64, releasing, stored
+from kindred.llm.common import bit_filter, forget, mapped, may_hold, mix64, stored
 from kindred.llm.components import components, dealt
 from kindred.llm.winnowing import let
 
@@ -239,16 +239,14 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
                             keys, owners = keys[ok], owners[ok]
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], ["key", "owner"])
 
-        return texts.mapInArrow(releasing(rows), "key bigint, owner bigint")
+        return mapped(texts, rows, "key bigint, owner bigint")
 
     bare = F.col("owner").bitwiseAND(F.lit(-2))
     met = keyed().groupBy("key").agg(F.min(bare).alias("low"), F.max(bare).alias("high"), F.max(F.col("owner").bitwiseAND(F.lit(1))).alias("indexed")).where("low < high and indexed = 1").select("key", "low")
     met = stored(met, "met")
-    clean(spark)
     # few keys meet others: the rest goes before it is shuffled again
     stars = keyed(spark.sparkContext.broadcast(bit_filter(met, "key"))).join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     families = components(stars)
-    clean(spark)
     wanted = families.select(F.col("u").alias("id"), F.col("component").alias("family"))
     n = wanted.count()
     chosen = spark.sparkContext.broadcast(bit_filter(wanted, "id"))
@@ -262,7 +260,7 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([lines[i] for i in ids.tolist()])], ["id", "line"])
 
-    lines = texts.mapInArrow(releasing(texts_of), "id bigint, line string")
+    lines = mapped(texts, texts_of, "id bigint, line string")
     members = lines.join(wanted, "id").groupBy("id", "family").agg(F.min("line").alias("line"))
     sizes = wanted.groupBy("family").agg(F.count("*").alias("members"))
     band = F.floor(F.length("line") / 16).cast("int")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import HashCache, clean, forget, mix64, releasing, stored, texts_of
+from kindred.llm.common import HashCache, forget, mapped, mix64, stored, texts_of
 from kindred.llm.components import components, dealt
 
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -158,7 +158,7 @@ def dealt_grams(documents: DataFrame, n: int, fragments: int) -> DataFrame:
             yield flush()
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(releasing(run), SHUFFLED)
+    return mapped(rows, run, SHUFFLED)
 
 
 def grouped(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -197,7 +197,7 @@ def counted(shuffled: DataFrame) -> DataFrame:
             out.append({"uid": -1, "kind": 2, "sizes": np.bincount(class_of(df), df, 128).astype(np.int64).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return shuffled.mapInArrow(releasing(run), COUNTED)
+    return mapped(shuffled, run, COUNTED)
 
 
 def order_of(counts: DataFrame) -> np.ndarray:
@@ -210,7 +210,7 @@ def order_of(counts: DataFrame) -> np.ndarray:
                 total += np.frombuffer(raw, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(128, dtype=np.int32)), pa.array(total)], ["class", "n"])
 
-    rows = counts.where("kind = 2").select("sizes").mapInArrow(releasing(run), "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect()  # 128 rows
+    rows = mapped(counts.where("kind = 2").select("sizes"), run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).collect()  # 128 rows
     n = np.zeros(129)
     for r in rows:
         n[r["class"] + 1] = r.n if r["class"] > 1 else 0
@@ -259,7 +259,7 @@ def candidates(counts: DataFrame, percent: int, before: np.ndarray) -> DataFrame
             )
 
     rows = counts.where("kind < 2").repartition("uid").sortWithinPartitions("uid", "kind")
-    return rows.mapInArrow(releasing(run), CANDIDATES)
+    return mapped(rows, run, CANDIDATES)
 
 
 def sizes_of(counts: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def sizes_of(counts: DataFrame) -> DataFrame:
             for ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(sizes, np.uint32).astype(np.int64))], ["doc_id", "n_shingles"])
 
-    return counts.where("kind = 0").select("ids", "sizes").mapInArrow(releasing(run), "doc_id bigint, n_shingles bigint")
+    return mapped(counts.where("kind = 0").select("ids", "sizes"), run, "doc_id bigint, n_shingles bigint")
 
 
 def without_id(documents: DataFrame, n: int) -> DataFrame:
@@ -281,7 +281,7 @@ def without_id(documents: DataFrame, n: int) -> DataFrame:
                 hashes = [np.fromiter(map(cache.__getitem__, words_of(t)), np.uint64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(shingled(h, np.array([len(h)]), n)[0])) for h in hashes], pa.int64())], ["n_shingles"])
 
-    return documents.where("doc_id is null").select("text").mapInArrow(releasing(run), "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
+    return mapped(documents.where("doc_id is null").select("text"), run, "n_shingles bigint").select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
 
 
 def stars(reps: DataFrame) -> DataFrame:
@@ -385,15 +385,13 @@ def block_links(reps: DataFrame, near: DataFrame, labels: DataFrame, percent: in
 
 def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links of 100 * intersection >= percent * union."""
-    spark, rows = documents.sparkSession, documents.where("doc_id is not null")
+    rows = documents.where("doc_id is not null")
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about
     fragments = max(1, words // FRAGMENT)
     counts = stored(counted(dealt_grams(rows, n, fragments).repartition(min(20_000, fragments // 8 + 1), "frag").sortWithinPartitions("frag")), "counts")
-    clean(spark)
     found = stored(candidates(counts, percent, order_of(counts)), "candidates")
     out = stored(sizes_of(counts), "sizes")
     forget(counts)
-    clean(spark)
     # one representative for each set
     sets = stored(found.groupBy("hi", "lo", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id")), "sets")
     reps = stored(found.join(sets.select("node"), "node", "left_semi").select("node", "n", "prefix", "parts"), "reps")

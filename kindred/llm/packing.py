@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import releasing, stored
+from kindred.llm.common import mapped, stored
 
 UNITS = 64
 BUCKETS = 100
@@ -203,7 +203,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, capacity: int)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * enc.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), raw, pa.array(np.full(len(n), enc.kind.itemsize == 4))], ["doc_id", "n", "crcs", "ids", "wide"])
 
-    return documents.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {dict(documents.dtypes)['doc_id']}, n bigint, crcs array<bigint>, ids binary, wide boolean")
+    return mapped(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n bigint, crcs array<bigint>, ids binary, wide boolean")
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -347,6 +347,6 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 2, capacity: int =
                 got = [crc(np.frombuffer(x, "<u4" if w else "<u2")) for x, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(got, pa.int64()), *batch.columns[5:]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        filled = pieces.select("doc_id", "own", "wide", "start", "length", "doc_tokens", "sequence_id", "offset").mapInArrow(releasing(run), f"doc_id {dict(docs.dtypes)['doc_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+        filled = mapped(pieces.select("doc_id", "own", "wide", "start", "length", "doc_tokens", "sequence_id", "offset"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
         out = out.unionByName(filled)
     return out

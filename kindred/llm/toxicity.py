@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kindred.llm.common import releasing
+from kindred.llm.common import mapped
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 16
@@ -198,4 +198,4 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
             if scores:
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array(np.concatenate(scores).astype(np.float64))], [*own, "score"])
 
-    return documents.select(*own).mapInArrow(releasing(run), schema)
+    return mapped(documents.select(*own), run, schema)
