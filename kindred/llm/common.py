@@ -100,10 +100,14 @@ def bounded_sample(df: DataFrame, key: Column, most: int, seed: int) -> DataFram
     return df if total <= most else df.where(hashed_share(key, seed) < most / total)
 
 
+#: files of a stored sample, whose rows are bounded
+SAMPLE_FILES = 4
+
+
 def bounded_texts(rows: DataFrame, most_chars: int) -> list[Row]:
     """The rows of a sample (with text), in the order of their texts' hashes as far as `most_chars` characters go; a text that
     exceeds what is left is skipped. Only lengths reach the driver before that is settled."""
-    kept = stored(rows.withColumn("_hash", F.xxhash64("text")).withColumn("_size", F.coalesce(F.char_length("text"), F.lit(0))), "sample")
+    kept = stored(rows.withColumn("_hash", F.xxhash64("text")).withColumn("_size", F.coalesce(F.char_length("text"), F.lit(0))).repartition(SAMPLE_FILES), "sample")
     left, chosen = most_chars, []
     for r in sorted(kept.groupBy("_hash", "_size").count().collect()):  # a row for each text of the sample at most
         if r["_size"] * r["count"] <= left:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_texts, fold, forget, hashed_share, mapped, stored
+from kindred.llm.common import SAMPLE_FILES, bounded_texts, fold, forget, hashed_share, mapped, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -132,7 +132,7 @@ def fit(documents: DataFrame, *, folds: int = 5, held: int = 0, most: int = 1500
     total = counts.agg(F.sum("count")).first()[0] or 0
     shares = counts.select("lang", F.least(F.lit(1.0), F.greatest(F.lit(most / max(total, 1)), F.lit(float(least)) / F.col("count"))).alias("_share"))
     rows = known.join(F.broadcast(shares), "lang").where(hashed_share(F.col("doc_id"), 3) < F.col("_share")).select("text", "lang")  # one row a language
-    sample = stored(rows, "sample")
+    sample = stored(rows.repartition(SAMPLE_FILES), "sample")
     taken = [(r.text, r.lang) for r in bounded_texts(sample, most_chars)]
     met = {lang for _, lang in taken}
     start = F.left("text", F.lit(max(1000, most_chars // 100)))

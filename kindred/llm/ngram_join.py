@@ -217,7 +217,7 @@ def order_of(counts: DataFrame) -> np.ndarray:
     return np.cumsum(n)
 
 
-def candidates(counts: DataFrame, percent: int, before: np.ndarray) -> DataFrame:
+def candidates(counts: DataFrame, percent: int, before: np.ndarray, tasks: int) -> DataFrame:
     """Documents that share an n-gram of their prefix: size and mark of the set, the prefix's shared n-grams and all shared
     ones, by fragment of the global order."""
 
@@ -258,7 +258,7 @@ def candidates(counts: DataFrame, percent: int, before: np.ndarray) -> DataFrame
                 [x.split()[0] for x in CANDIDATES.split(", ")],
             )
 
-    rows = counts.where("kind < 2").repartition("uid").sortWithinPartitions("uid", "kind")
+    rows = counts.where("kind < 2").repartition(tasks, "uid").sortWithinPartitions("uid", "kind")
     return mapped(rows, run, CANDIDATES)
 
 
@@ -388,10 +388,9 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = documents.where("doc_id is not null")
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6  # about
     fragments = max(1, words // FRAGMENT)
-    counts = stored(counted(dealt_grams(rows, n, fragments).repartition(min(20_000, fragments // 8 + 1), "frag").sortWithinPartitions("frag")), "counts")
-    found = stored(candidates(counts, percent, order_of(counts)), "candidates")
-    out = stored(sizes_of(counts), "sizes")
-    forget(counts)
+    tasks = min(20_000, fragments // 16 + 1)
+    counts = stored(counted(dealt_grams(rows, n, fragments).repartition(tasks, "frag").sortWithinPartitions("frag")), "counts")
+    found = stored(candidates(counts, percent, order_of(counts), tasks), "candidates")
     # one representative for each set
     sets = stored(found.groupBy("hi", "lo", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc_id")), "sets")
     reps = stored(found.join(sets.select("node"), "node", "left_semi").select("node", "n", "prefix", "parts"), "reps")
@@ -405,5 +404,5 @@ def join(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.select("u", "v")))
     for used in (found, sets, reps, pairs, links, more, near, labels):
         forget(used)
-    out = out.join(classes.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sizes_of(counts).join(classes.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(without_id(documents, n))
