@@ -65,13 +65,22 @@ def forget(df: DataFrame) -> None:
 BATCH_BYTES = 8 << 20
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(run) in batches of bounded size; a worker that is done hands the memory that it freed back to the system."""
+#: what a worker keeps from task to task, by name
+HELD: dict[str, Any] = {}
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType | str, holds: str | None = None) -> DataFrame:
+    """df.mapInArrow(run) in batches of bounded size. A worker forgets what it holds for others than `holds`, and when done hands
+    the memory that it freed back to the system."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, BATCH_BYTES)
 
     def inner(parts: Iterator) -> Iterator:
+        from kindred.llm import common  # the worker's own
+
+        for name in [x for x in common.HELD if x != holds]:
+            del common.HELD[name]
         try:
             yield from run(parts)
         finally:
@@ -145,7 +154,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", step: int = 256) -> It
 class HashCache(dict):
     """word -> unsigned 64-bit hash, made on first use and bounded in size."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 

@@ -245,8 +245,10 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
     met = keyed().groupBy("key").agg(F.min(bare).alias("low"), F.max(bare).alias("high"), F.max(F.col("owner").bitwiseAND(F.lit(1))).alias("indexed")).where("low < high and indexed = 1").select("key", "low")
     met = stored(met, "met")
     # few keys meet others: the rest goes before it is shuffled again
-    stars = keyed(spark.sparkContext.broadcast(bit_filter(met, "key"))).join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    shared = spark.sparkContext.broadcast(bit_filter(met, "key"))
+    stars = keyed(shared).join(met, "key").select(bare.alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     families = components(stars)
+    shared.destroy()
     wanted = families.select(F.col("u").alias("id"), F.col("component").alias("family"))
     n = wanted.count()
     chosen = spark.sparkContext.broadcast(bit_filter(wanted, "id"))
@@ -280,6 +282,7 @@ def line_classes(documents: DataFrame, tau: int = TAU, least: int = LEAST) -> Da
         return pd.DataFrame(link_blocks(found, tau), columns=["u", "v"]).astype("int64")
 
     out = components(blocks.groupBy("deal").applyInPandas(run, "u bigint, v bigint"))
+    chosen.destroy()
     for used in (met, families):
         forget(used)
     return out

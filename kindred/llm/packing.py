@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import mapped, stored
+from kindred.llm.common import HELD, mapped, stored
 
 UNITS = 64
 BUCKETS = 100
@@ -176,13 +176,12 @@ class Encoder:
         return out, starts
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    """The worker's own, kept while it packs."""
+    name = f"encoder {path}"
+    if name not in HELD:
+        HELD[name] = Encoder(path)
+    return HELD[name]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -203,7 +202,7 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int, capacity: int)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * enc.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), raw, pa.array(np.full(len(n), enc.kind.itemsize == 4))], ["doc_id", "n", "crcs", "ids", "wide"])
 
-    return mapped(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n bigint, crcs array<bigint>, ids binary, wide boolean")
+    return mapped(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n bigint, crcs array<bigint>, ids binary, wide boolean", f"encoder {tokenizer}")
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
