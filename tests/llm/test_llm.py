@@ -440,6 +440,138 @@ def test_classifiers(spark, empty):
     assert quality.learn([]) is None and quality.score(empty, model).count() == 0
 
 
+ODD_TEXTS = [None, "", " \n\t ", "123 ²!", "x", "Ärger uvo UVO", "uvo " * 4000, "vile fool\nvile fool", "a,b.c? d!", "http://x.y | $$$ \ud83d\ude00"]
+
+
+def plain_language(model, text):
+    """Word by word, with no arrays of several words."""
+    words = language_id.WORD.findall((text or "").lower())
+    if not any(c.isalpha() for c in text or "") or not words:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in words:
+        if w in model.words:
+            row = [float(x) for x in model.logs[model.words[w]]]
+        else:
+            row = [0.0] * len(model.langs)
+            for n in range(5, 0, -1):
+                grams = [f" {w} "[i : i + n] for i in range(len(w) + 2 - n + 1)]
+                known = [model.logs[model.grams[g]] for g in grams if g in model.grams]
+                if known:
+                    row = [sum(float(k[j]) for k in known) / len(known) for j in range(len(row))]
+                    break
+        total = [a + b for a, b in zip(total, row)]
+    mean = [x / len(words) for x in total]
+    best = max(range(len(mean)), key=lambda j: (mean[j], -j))
+    power = min(20, len(words))
+    return model.langs[best], 1 / sum(np.exp((x - mean[best]) * power) for x in mean)
+
+
+def test_language_against_a_plain_scorer(spark):
+    rng = random.Random(15)
+    langs = {"aa": "uvo xen pil grat", "bb": "ösk hamm trub lind uvo", "cc": "zyw qoj kyx vuq"}
+    pairs = [(" ".join(rng.choice(langs[k].split()) + rng.choice(["", "en", "is"]) for _ in range(12)), k) for k in langs for _ in range(40)]
+    model = language_id.learn(pairs)
+    counts = {k: Counter(w for t, lang in pairs if lang == k for w in t.split()) for k in langs}
+    for w in ("uvo", "xenen", "kyxis"):  # log frequencies by language, an absent word as half a one
+        want = [np.log(max(counts[k][w], 0.5) / sum(counts[k].values())) for k in sorted(langs)]
+        assert np.allclose(model.logs[model.words[w]], want, atol=1e-5)
+    texts = ODD_TEXTS + [t for t, _ in pairs[::7]] + [" ".join(rng.choice("uvoxen hammlind zywqo pilpil ösken q é".split()) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for r in language_id.identify(df, model).collect():
+        lang, share = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - share) < 1e-5
+
+
+def plain_toxicity(model, text):
+    """Every window of every filter by itself."""
+    ids = toxicity.ids_of(text, toxicity.Buckets())
+    most = max(toxicity.WIDTHS) - 1
+    padded, z, at = ids + [0] * (2 * most), float(model.out_bias), 0
+    for f, b in zip(model.filters, model.bias):
+        for c in range(toxicity.FILTERS):
+            windows = [sum(float(model.emb[padded[p + j]] @ f[j][:, c]) for j in range(len(f))) for p in range(len(ids) + most)]
+            z += max(0.0, max(windows) + float(b[c])) * float(model.out[at])
+            at += 1
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    votes = sum((model.votes[i].astype(float) for i in ids), np.zeros(model.votes.shape[1]))
+    cut = model.cuts[int(np.argmax(votes))]
+    return toxicity.THRESHOLD * p / cut if p < cut else toxicity.THRESHOLD + (1 - toxicity.THRESHOLD) * (p - cut) / (1 - cut)
+
+
+def test_toxicity_against_a_plain_scorer(spark):
+    rng = random.Random(16)
+    rows = [(prose(rng, 20) + (" vile fool" if k % 3 == 0 else "") + f" {prose(rng, 10)}", int(k % 3 == 0), ("en", "de")[k % 2]) for k in range(200)]
+    model = toxicity.learn(rows)
+    texts = ODD_TEXTS + [t for t, _, _ in rows[::5]] + ["vile", "fool vile", prose(rng, 1) + " vile fool"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for r in toxicity.score(df, model).collect():
+        assert abs(r.score - plain_toxicity(model, texts[r.doc_id])) < 1e-4
+
+
+def plain_quality(text):
+    """The features, character by character."""
+    t = text or ""
+    words, size, lines = t.split(), len(t.encode("utf-8", "replace")), t.split("\n")
+    if not words:
+        return [0.0] * quality.FEATURES
+    def some(of):
+        return sum(c in of for c in t)
+    upper, lower, n = some("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), some("abcdefghijklmnopqrstuvwxyz"), len(words)
+    beyond = size - sum(ord(c) < 128 for c in t)
+    log = np.log1p
+    return [
+        upper / max(1, upper + lower + beyond / 2), some("0123456789") / size, some(quality.SYMBOLS.decode()) / size, some(",.") / n, some(".") / n, beyond / size, log(n), size / n / 10,
+        len(set(words)) / n, 1 - len(set(lines)) / len(lines), log(n / len(lines)), some(" ") / n, some("?") / n, sum(w.endswith((".", "!", "?")) for w in lines) / len(lines), min(1, 20 / n),
+    ]
+
+
+def test_quality_against_a_plain_scorer(spark):
+    rng = random.Random(17)
+    rows = [((prose(rng, 30 + k % 20) + ".") if k % 3 else " ".join(w + rng.choice(["$", "#", ""]) for w in [rng.choice(WORDS)] * 30), int(k % 3 > 0), "en") for k in range(240)]
+    model = quality.learn(rows)
+    x, y = np.array([plain_quality(t) for t, _, _ in rows]), np.array([q for _, q, _ in rows])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    strength = ((x - mean) / scale) @ model.weights
+    gaps = strength[y == 1][:, None] - strength[y == 0][None]  # all pairs, not the drawn ones
+    assert np.log1p(np.exp(-gaps)).mean() < 0.05 and (gaps > 0).mean() > 0.99
+    texts = ODD_TEXTS + [t for t, _, _ in rows[::5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for r in quality.score(df, model).collect():
+        s = float((((np.array(plain_quality(texts[r.doc_id])) - mean) / scale) * model.weights).sum())
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(s - model.cut + np.log(0.3 / 0.7), -30, 30)))) < 1e-6
+
+
+CLASHES = "fingerprint edited_fingerprint near_next component_id n_shingles labels base_labels n_words score sampled probability weight topic tokens start length offset sequence_id doc_tokens n_lines n_dropped lang_pred held_out _hash _size _gone _stay rank key bucket n count next".split()
+
+
+@pytest.mark.parametrize("name", ["digest", "join", "licenses", "mix", "dedup", "pack", "identify", "toxicity", "quality"])
+def test_clashing_columns_and_repeated_rows(spark, docs, empty, name, tmp_path):
+    """Columns named as those an operator adds change nothing, repeated rows are rows, the result can be written."""
+    from kindred.llm.queries import default_tokenizer
+
+    texts = [("aa", "uvo xen pil"), ("bb", "ösk hamm trub")] * 4
+    model = language_id.learn(texts)
+    run = {
+        "digest": winnowing.digest, "join": lambda d: ngram_join.join(d, 3, 90), "licenses": licenses.digest, "mix": mixing.mix, "dedup": line_dedup.dedup,
+        "pack": lambda d: packing.pack(d, default_tokenizer()), "identify": lambda d: language_id.identify(d, model), "toxicity": lambda d: toxicity.score(d, None), "quality": lambda d: quality.score(d, None),
+    }[name]
+    rows = docs.union(docs.where("doc_id % 4 = 0"))
+    more = rows.select("*", *(F.lit("clash").alias(c) for c in CLASHES))
+
+    def result(d, path):
+        out = run(d)
+        out = out.select(*[c for c in plain if c in out.columns]) if (plain := names) else out
+        out.write.parquet(str(tmp_path / path))
+        return Counter(tuple(r) for r in spark.read.parquet(str(tmp_path / path)).collect())
+
+    names = run(rows).columns
+    want, got = result(rows, "plain"), result(more, "more")
+    assert want == got and sum(want.values()) >= (rows.count() if name != "pack" else 1)
+    assert run(empty.select("*", *(F.lit("clash").alias(c) for c in CLASHES))).count() == 0
+
+
 def test_labelled_sample_keeps_the_fold(spark):
     docs = spark.createDataFrame([(k, f"t{k}", "en") for k in range(60)], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(k, 1, None) for k in range(60)] + [(None, 1, 1), (3, None, 0)], "doc_id bigint, quality int, toxic int")
