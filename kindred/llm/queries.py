@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import language_id, licenses, line_dedup, mixing, ngram_join, packing, pivot_search, quality, toxicity, winnowing
-from kindred.llm.common import fold, labelled_sample, table
+from kindred.llm.common import fold, labelled_sample, stored, table
 
 
 def default_tokenizer() -> str:
@@ -37,9 +37,8 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = quality.learn(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, 4000))
-    rows = quality.score(docs.select("doc_id", "text"), model)
+    docs = stored(quality.featured(table(spark, sf_dir, "documents").select("doc_id", "text")), "features")
+    rows = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), "quality", 5, 0))
     return rows.select("doc_id", held_out(5, 0), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

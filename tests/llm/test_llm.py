@@ -767,3 +767,45 @@ def test_pipeline(spark, tmp_path, docs):
                 assert all(i == c for i, (_, c) in got.items())
     assert rows.select("doc_id").distinct().count() == n
     assert P.run(spark, str(tmp_path)).count() == rows.count()
+
+
+def beyond_sample(spark, most, total, seed):
+    """The ids below total that a sample of `most` rows by this seed would leave out."""
+    share = common.hashed_share(F.col("id"), seed)
+    return {r.id for r in spark.range(total).where(share >= most / total).collect()}
+
+
+def test_quality_learns_from_every_labelled_row(spark, tmp_path):
+    """Label 0 is only in rows that a sample of 4,000 leaves out."""
+    from kindred.llm.queries import op4_quality
+
+    rng, learned = random.Random(31), {k for k in range(6000) if zlib.crc32(str(k).encode()) % 5 != 0}
+    bad = beyond_sample(spark, 4000 * 6000 / len(learned), 6000, 7) & learned
+    assert len(bad) > 500
+    rows = [(k, prose(rng, 12) if k not in bad else " ".join(w + "$$" for w in prose(rng, 12).split())) for k in range(6000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k not in bad)) for k in range(6000)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op4_quality(spark, str(tmp_path)).collect()}
+    assert len(got) == 6000 and sum(got[k].predicted == (k not in bad) for k in got) >= 5950
+
+
+def test_quality_fit_is_learn_over_a_table(spark, empty):
+    """However the table is split; gradient and curvature are those of plain sums over all pairs."""
+    rng = random.Random(32)
+    rows = [((prose(rng, 20 + k % 30) + ".") if rng.random() < 0.6 + 0.3 * (k % 3 > 0) else " ".join(w + rng.choice(["$", ""]) for w in prose(rng, 25).split()), int(k % 3 > 0), "") for k in range(200)]
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y, _) in enumerate(rows)] + [(None, 0), (5, None)], "doc_id bigint, quality int")
+    want = quality.learn([r for k, r in enumerate(rows) if zlib.crc32(str(k).encode()) % 5 != 0])
+    for n in (1, 4):
+        got = quality.fit(quality.featured(df.repartition(n)), labels, "quality", 5, 0)
+        assert (got.mean == want.mean).all() and (got.scale == want.scale).all() and (got.weights == want.weights).all() and got.cut == want.cut
+    assert quality.fit(quality.featured(empty), labels, "quality", 5, 0) is None
+    x = np.array([quality.features(t) for t, _, _ in rows])
+    z, y = (x - want.mean) / want.scale, np.array([y for _, y, _ in rows])
+    for w in (np.zeros(quality.FEATURES), want.weights / 2, want.weights):
+        pairs = quality.Pairs(quality.tally(np.rint(z * quality.UNIT).astype(np.int64), y, w), w)
+        d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, quality.FEATURES)
+        wrong = 1 / (1 + np.exp(d @ w))
+        assert pairs.loss == pytest.approx(np.log1p(np.exp(-(d @ w))).mean() + 5e-4 * (w @ w), abs=1e-3)
+        assert np.allclose(pairs.gradient, -(d * wrong[:, None]).mean(axis=0) + 1e-3 * w, atol=2e-3)
+        assert np.allclose(pairs.curve, (d * (wrong * (1 - wrong))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), atol=0.03)
