@@ -10,8 +10,8 @@ Targets are parameters, or by default tempered shares (tokens to the power `temp
 itself. Of a dimension with targets, values that are not named keep their tempered share and the named ones divide the rest
 in proportion to their targets (0 for none); None names null, topics are named by number. Up to CELLS cells are raked on the
 driver; more stay in a table, whose marginals are aggregates. Sources are raked last: where marginals contradict each other
-(each source has its own topics, say), the sources' hold. Topics are clusters of hashed word counts, learned from a sample
-of bounded size (`most` texts, `most_chars` characters); every text is put into the nearest, one without long words into 0.
+(each source has its own topics, say), the sources' hold. Topics are clusters of hashed word counts, learned from every text;
+each text is put into the nearest, one without long words into 0.
 
 Tokens are the words between ASCII white space. Defined results: null source and language are values of their own; null and empty texts have no tokens and the
 probability of their cell; a null id is sampled like any fixed id; repeated ids are sampled together. Further columns are
@@ -21,7 +21,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,17 +29,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from kindred.llm.common import bounded_sample, bounded_texts, forget, hashed_share, mapped, stored
+from kindred.llm.common import forget, hashed_share, mapped, mix64, stored
 
 TOPICS, TERMS, LONG, CELLS = 8, 256, 6, 100_000
 DIMENSIONS = ("source", "lang", "topic")
+#: the column of the counts of long words; a bucket fits into a byte
+COUNTS = "_long_words"
 
 
 class Topics:
     """Clusters of texts by the words of LONG characters and more: counts of hashed words, damped and weighted by how few
-    texts of the sample hold them, on the unit sphere."""
+    texts hold them, on the unit sphere."""
 
     def __init__(self, rare: np.ndarray, centers: np.ndarray) -> None:
         self.rare, self.centers = rare, centers
@@ -69,47 +71,133 @@ def word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.bincount(place, minlength=len(texts) * TERMS).reshape(len(texts), TERMS).astype(np.float64)
 
 
-def learn_topics(documents: DataFrame, *, topics: int = TOPICS, most: int = 2000, most_chars: int = 8_000_000, rounds: int = 20, seed: int = 3) -> Topics:
-    """Spherical k-means over about `most` texts, chosen by the hash of their id, of `most_chars` characters at most."""
-    rows = bounded_texts(bounded_sample(documents.where("text is not null").select("doc_id", "text"), F.col("doc_id"), most, 23).select("text"), most_chars)
-    _, counts = word_counts(pa.array(sorted(r.text for r in rows), pa.string()))
-    counts = counts[counts.sum(axis=1) > 0]
-    rare = np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1e-3
-    x = Topics.vectors(counts, rare)
-    if not len(x):
-        return Topics(rare, np.zeros((1, TERMS)))
-    chosen, rng = [int(np.random.default_rng(seed).integers(len(x)))], np.random.default_rng(seed)
-    while len(chosen) < min(topics, len(x)):  # k-means++ seeds
-        gap = np.maximum(1 - (x @ x[chosen].T).max(axis=1), 0)
-        if gap.sum() <= 1e-9:
-            break
-        chosen.append(int(rng.choice(len(x), p=gap / gap.sum())))
-    centers = x[chosen]
-    for _ in range(rounds):
-        near = (x @ centers.T).round(9).argmax(axis=1)
-        for k in range(len(centers)):
-            if (near == k).any():
-                mean = x[near == k].mean(axis=0)
-                centers[k] = mean / max(1e-12, float(np.sqrt((mean * mean).sum())))
-    return Topics(rare, centers)
+def packed(counts: np.ndarray) -> pa.Array:
+    """The counts of each text that are not 0, eight bytes each: the count, and its bucket in the lowest byte."""
+    owner, bucket = np.nonzero(counts)
+    held = (counts[owner, bucket].astype(np.uint64) << np.uint64(8)) | bucket.astype(np.uint64)
+    starts = 8 * np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(held.astype("<u8").tobytes())])
 
 
-def with_topics(documents: DataFrame, topics: Topics) -> DataFrame:
-    """documents (with text) and topic int, n_tokens bigint."""
-    shared = documents.sparkSession.sparkContext.broadcast(topics)  # TOPICS * TERMS numbers
+def unpacked(column: pa.Array) -> np.ndarray:
+    """The counts that packed() took."""
+    column = column.cast(pa.large_binary())
+    out = np.zeros((len(column), TERMS))
+    if not len(column):
+        return out
+    starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+    if starts[-1] > starts[0]:
+        held = np.frombuffer(column.buffers()[2], "<u8", int(starts[-1]))[starts[0] :]
+        out[np.repeat(np.arange(len(out)), np.diff(starts)), (held & np.uint64(255)).astype(np.int64)] = held >> np.uint64(8)
+    return out
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """documents (with text), n_tokens bigint and the counts of their long words."""
     names = documents.columns
-    schema = StructType([*documents.schema.fields, StructField("topic", IntegerType()), StructField("n_tokens", LongType())])
+    schema = StructType([*documents.schema.fields, StructField("n_tokens", LongType()), StructField(COUNTS, BinaryType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 tokens, counts = word_counts(some.column(names.index("text")))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(shared.value.of(counts), pa.int32()), pa.array(tokens, pa.int64())], [*names, "topic", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(tokens, pa.int64()), packed(counts)], [*names, "n_tokens", COUNTS])
 
     return mapped(documents, run, schema)
 
 
+def placed(rows: DataFrame, topics: Topics) -> DataFrame:
+    """rows that counted() made, the counts of their words replaced by topic int."""
+    names = [c for c in rows.columns if c != COUNTS]
+    schema = StructType([*(f for f in rows.schema.fields if f.name != COUNTS), StructField("topic", IntegerType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                near = topics.of(unpacked(some.column(some.schema.get_field_index(COUNTS))))
+                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in names), pa.array(near, pa.int32())], [*names, "topic"])
+
+    return mapped(rows, run, schema)
+
+
+def with_topics(documents: DataFrame, topics: Topics) -> DataFrame:
+    """documents (with text) and topic int, n_tokens bigint."""
+    return placed(counted(documents), topics).select(*documents.columns, "topic", "n_tokens")
+
+
+def learn_topics(documents: DataFrame, *, topics: int = TOPICS, rounds: int = 20, seed: int = 3) -> Topics:
+    """Spherical k-means over every text with long words (or over rows that counted() made), begun by k-means++. Each step is one
+    pass over the stored counts, of which numbers of a fixed size reach the driver; sums are of integers, so they are the same
+    however the table is split."""
+    rows = documents if COUNTS in documents.columns else counted(documents.where("text is not null").select("doc_id", "text"))
+    some = stored(rows.where(F.length(COUNTS) > 0).select(F.xxhash64("doc_id", COUNTS, F.lit(seed)).alias("hash"), COUNTS), "long_words")
+
+    def tasks(step: Callable[[np.ndarray, np.ndarray, pa.Array], None], result: Callable[[], dict], schema: str) -> list:
+        """What each task returns after step() took all its rows."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    step(unpacked(part.column(1)), part.column(0).to_numpy().view(np.uint64), part.column(1))
+            if found := result():
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in found.items()})
+
+        return mapped(some, run, schema).collect()
+
+    def total(add: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """The sums of integers that add() makes of each batch's counts."""
+        sums = np.zeros(size, np.int64)
+
+        def step(counts: np.ndarray, *_: object) -> None:
+            np.add(sums, add(counts), out=sums)
+
+        return sum((np.frombuffer(r.sums, np.int64) for r in tasks(step, lambda: {"sums": sums.tobytes()}, "sums binary")), np.zeros(size, np.int64))
+
+    n, *holders = total(lambda counts: np.concatenate([[len(counts)], (counts > 0).sum(axis=0)]), TERMS + 1).tolist()
+    rare = np.log((n + 1) / (np.array(holders) + 1)) + 1e-3
+    centers = np.zeros((0, TERMS))
+
+    def next_seed(k: int) -> np.ndarray | None:
+        """A text drawn with odds of its distance to the nearest centre: of all, the first to arrive at such a rate."""
+        best: dict = {}
+
+        def step(counts: np.ndarray, hashes: np.ndarray, column: pa.Array) -> None:
+            x = Topics.vectors(counts, rare)
+            gap = np.maximum(1 - (x @ centers.T).round(9).max(axis=1), 0) if len(centers) else np.ones(len(x))
+            share = ((mix64(hashes ^ np.uint64(k)) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+            wait = np.divide(-np.log(share), gap, out=np.full(len(x), np.inf), where=gap > 1e-9)
+            at = int(wait.argmin()) if len(wait) else 0
+            if len(wait) and (wait[at], int(hashes[at]) >> 1) < (best.get("wait", np.inf), best.get("hash", 0)):
+                best.update(wait=float(wait[at]), hash=int(hashes[at]) >> 1, counts=column[at].as_py())
+
+        found = sorted((r.wait, r.hash, bytes(r.counts)) for r in tasks(step, lambda: best, "wait double, hash bigint, counts binary"))
+        return Topics.vectors(unpacked(pa.array([found[0][2]], pa.binary())), rare) if found else None
+
+    while len(centers) < topics and (chosen := next_seed(len(centers) + 1)) is not None:
+        centers = np.concatenate([centers, chosen])
+    if not len(centers):
+        forget(some)
+        return Topics(rare, np.zeros((1, TERMS)))
+
+    def members(counts: np.ndarray) -> np.ndarray:
+        x = Topics.vectors(counts, rare)
+        near = (x @ centers.T).round(9).argmax(axis=1)
+        return np.concatenate([np.rint(x[near == k] * (1 << 30)).astype(np.int64).sum(axis=0) for k in range(len(centers))])
+
+    before = None
+    for _ in range(rounds):
+        sums = total(members, len(centers) * TERMS).reshape(len(centers), TERMS)
+        if before is not None and (sums == before).all():
+            break
+        before, size = sums, np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
+        centers = np.divide(sums, size, out=centers.copy(), where=size > 0)
+    forget(some)
+    return Topics(rare, centers)
+
+
 def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Weights of the cells (column tokens) that give every dimension its target shares of the weighted tokens; values
     with tokens but no target get none."""
@@ -246,15 +334,19 @@ def mix(documents: DataFrame, *, budget: float = 0.5, temper: float = 0.7, targe
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every document; with keep, its own columns
     too. The texts' words are counted once; what the rest needs is stored. topics: clusters learned before, in place of the
     documents' own."""
-    added = ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "_source", "_lang", "_topic")
+    added = ("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "_source", "_lang", "_topic", COUNTS)
     own = [c for c in documents.columns if keep and c not in added]
-    texts = with_topics(documents.select(*dict.fromkeys([*own, "doc_id", "source", "lang", "text"])), topics or learn_topics(documents))
-    rows = stored(texts.select(*own, "doc_id", "source", "lang", "topic", "n_tokens"), "counted")
-    placed = rows
-    for d in DIMENSIONS:
-        placed = placed.withColumn(f"_{d}", F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("")))
+    texts = counted(documents.select(*dict.fromkeys([*own, "doc_id", "source", "lang", "text"])))
+    kept = stored(texts.select(*own, "doc_id", "source", "lang", "n_tokens", COUNTS), "counted")
+    topics = topics or learn_topics(kept)
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        rows = placed(rows, topics)
+        return rows.withColumns({f"_{d}": F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("")) for d in DIMENSIONS})
+
     by_cell = [f"_{d}" for d in DIMENSIONS]
-    found = stored(placed.groupBy(*by_cell).agg(F.sum("n_tokens").alias("tokens")), "found_cells")
+    rows = in_cells(kept)
+    found = stored(in_cells(kept.select("source", "lang", "n_tokens", COUNTS)).groupBy(*by_cell).agg(F.sum("n_tokens").alias("tokens")), "found_cells")
     n = found.count()
     if not n:
         return rows.select(*own, "doc_id", "source", "lang", "topic", "n_tokens", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"), F.lit(True).alias("sampled"))
@@ -267,5 +359,5 @@ def mix(documents: DataFrame, *, budget: float = 0.5, temper: float = 0.7, targe
         table = F.broadcast(documents.sparkSession.createDataFrame(made, "_source string, _lang string, _topic string, weight double, probability double"))  # bounded by most_cells
     else:
         table = rake_table(found, temper, targets or {}, budget)
-    out = placed.join(table, by_cell)
+    out = rows.join(table, by_cell)
     return out.select(*own, "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (hashed_share(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))

@@ -809,3 +809,25 @@ def test_quality_fit_is_learn_over_a_table(spark, empty):
         assert pairs.loss == pytest.approx(np.log1p(np.exp(-(d @ w))).mean() + 5e-4 * (w @ w), abs=1e-3)
         assert np.allclose(pairs.gradient, -(d * wrong[:, None]).mean(axis=0) + 1e-3 * w, atol=2e-3)
         assert np.allclose(pairs.curve, (d * (wrong * (1 - wrong))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), atol=0.03)
+
+
+def test_topics_are_learned_from_every_text(spark):
+    """One vocabulary is only in texts that a sample of 2,000 leaves out; its words and its cluster are known all the same."""
+    rng, late = random.Random(33), beyond_sample(spark, 2000, 3000, 23)
+    subjects = [[f"{rng.choice(WORDS)}{rng.choice(WORDS)}{x}" for _ in range(30)] for x in "xyz"]
+    kind = {k: 2 if k in late and k % 2 else k % 4 // 2 for k in range(3000)}
+    rows = [(k, " ".join(rng.choice(subjects[kind[k]]) for _ in range(20))) for k in range(3000)]
+    df = spark.createDataFrame(rows + [(3001, None), (3002, ""), (3003, "a b")], "doc_id bigint, text string")
+    topics = [mixing.learn_topics(df.repartition(n), topics=3) for n in (1, 4)]
+    holders = Counter(b for _, t in rows for b in {zlib.crc32(w.encode()) % mixing.TERMS for w in t.split()})
+    assert np.allclose(topics[0].rare, [np.log(3001 / (holders[b] + 1)) + 1e-3 for b in range(mixing.TERMS)])
+    assert np.allclose(topics[0].centers, topics[1].centers)
+    met = Counter((kind[r.doc_id], r.topic) for r in mixing.with_topics(df, topics[0]).where("doc_id < 3000").collect())
+    assert len({t for _, t in met}) == 3 and all(max(met[s, t] for t in range(3)) >= 0.97 * sum(met[s, t] for t in range(3)) for s in range(3))
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 3, (40, mixing.TERMS)) * (rng.random((40, 1)) < 0.8) * rng.choice([1, 1 << 33], (40, mixing.TERMS))
+    got = mixing.packed(counts.astype(float))
+    assert (mixing.unpacked(got) == counts).all() and (mixing.unpacked(got.slice(7, 11)) == counts[7:18]).all() and mixing.unpacked(got.slice(40)).shape == (0, mixing.TERMS)
