@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -37,6 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: seconds between two times that the driver hands memory back
+RELEASE_S = 3.0
+
+
+def handed_back() -> None:
+    """Give memory that this process freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def released(spark: SparkSession) -> None:
+    """The driver drops plans, broadcasts and buffers of finished steps: Python's first, as they hold the JVM's. Else either
+    process grows until its own limit, whatever little it needs."""
+    now = time.monotonic()
+    if now - HELD_BACK.get("at", -RELEASE_S) < RELEASE_S:
+        return
+    gc.collect()
+    handed_back()
+    spark.sparkContext._jvm.System.gc()
+    HELD_BACK["at"] = time.monotonic()
+
+
+#: when the driver handed memory back last
+HELD_BACK: dict[str, float] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: cuts the lineage and survives lost executors. The shuffle
     files that it took are deleted then."""
@@ -49,6 +80,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kindred_path = path
+    released(df.sparkSession)
     return out
 
 
@@ -84,11 +116,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: StructTyp
         try:
             yield from run(parts)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            common.handed_back()
 
     return df.mapInArrow(inner, schema)
 
@@ -183,7 +211,10 @@ def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
     most 2**bits bits pass through the driver; where they are too few, the filter only lets more through."""
     rows = df.groupBy(F.expr(f"shiftrightunsigned({column}, {70 - bits})").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("held")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["word"].to_numpy()] = rows["held"].to_numpy().view(np.uint64)
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    del rows
+    handed_back()
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import SAMPLE_FILES, bounded_texts, fold, forget, hashed_share, mapped, stored
+from kindred.llm.common import SAMPLE_FILES, bounded_texts, fold, forget, handed_back, hashed_share, mapped, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -139,7 +139,9 @@ def fit(documents: DataFrame, *, folds: int = 5, held: int = 0, most: int = 1500
     short = sample.where(~F.col("lang").isin(sorted(met))) if met else sample
     taken += [(r.m["text"], r.lang) for r in short.groupBy("lang").agg(F.min(F.struct(F.char_length("text").alias("size"), start.alias("text"))).alias("m")).collect()]
     forget(sample)
-    return learn(sorted(taken, key=lambda r: (hash_of(r[0]), r)))
+    model = learn(sorted(taken, key=lambda r: (hash_of(r[0]), r)))
+    handed_back()  # counts of all n-grams, of which few are kept
+    return model
 
 
 def hash_of(text: str) -> int:

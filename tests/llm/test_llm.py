@@ -831,3 +831,26 @@ def test_packed_counts():
     counts = rng.integers(0, 3, (40, mixing.TERMS)) * (rng.random((40, 1)) < 0.8) * rng.choice([1, 1 << 33], (40, mixing.TERMS))
     got = mixing.packed(counts.astype(float))
     assert (mixing.unpacked(got) == counts).all() and (mixing.unpacked(got.slice(7, 11)) == counts[7:18]).all() and mixing.unpacked(got.slice(40)).shape == (0, mixing.TERMS)
+
+
+def test_stored_drops_what_finished_steps_left(spark):
+    """Plans and broadcasts in cycles go when a table is stored, not whenever the collector happens to run."""
+    import gc
+    import weakref
+
+    class Held:
+        pass
+
+    x = Held()
+    x.own, gone = x, weakref.ref(x)
+    gc.disable()
+    try:
+        del x
+        getattr(common, "HELD_BACK", {}).clear()
+        common.forget(common.stored(spark.range(3), "three"))
+        assert gone() is None
+    finally:
+        gc.enable()
+    ids = spark.range(500).select(F.xxhash64("id").alias("h"))
+    held = common.bit_filter(ids, "h", bits=14)
+    assert common.may_hold(held, np.array([r.h for r in ids.collect()])).all()
